@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audiolake.llm import knn
+from audiolake.llm import knn, leakage
 from audiolake.session import read_table
 
 
@@ -19,5 +19,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn.search(read_table(spark, d, "episode_embeddings"), F.col("episode_id") % 50 == 0)
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read_table(spark, d, "eval_items"), read_table(spark, d, "documents")).select("item_id", "doc_id")
+
+
+def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
+    near = leakage.proximity(read_table(spark, d, "eval_items"), read_table(spark, d, "documents"))
+    return near.select("item_id", "doc_id", "matched", F.round("share", 6).alias("share"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_found": p7_found, "p7_proximity": p7_proximity}
 SQL: dict[str, str] = {}
