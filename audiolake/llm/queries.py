@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audiolake.llm import knn, leakage
+from audiolake.llm import knn, leakage, lookalikes
 from audiolake.session import read_table
 
 
@@ -28,5 +28,15 @@ def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
     return near.select("item_id", "doc_id", "matched", F.round("share", 6).alias("share"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_found": p7_found, "p7_proximity": p7_proximity}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    same = lookalikes.pairs(read_table(spark, d, "documents"), "doc_id", "text")
+    return same.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    done = lookalikes.form(read_table(spark, d, "documents").select("doc_id", "text"), "text")
+    return done.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_found": p7_found, "p7_proximity": p7_proximity, "p9_found": p9_found, "p9_forms": p9_forms}
 SQL: dict[str, str] = {}
