@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audiolake.llm import knn, leakage, lookalikes
+from audiolake.llm import consensus, knn, leakage, lookalikes, mixing
 from audiolake.session import read_table
 
 
@@ -38,5 +38,58 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_found": p7_found, "p7_proximity": p7_proximity, "p9_found": p9_found, "p9_forms": p9_forms}
-SQL: dict[str, str] = {}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    items = consensus.consensus(read_table(spark, d, "judgments"))
+    return items.filter((F.col("votes") >= 3) & (F.col("stated") > 1)).select("query_id", "episode_id", "grade")
+
+
+def p5_judges(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(read_table(spark, d, "judgments")).select("judge", "votes", F.round("accuracy", 4).alias("accuracy"))
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.alpha(read_table(spark, d, "judgments"))
+
+
+P5_AGREEMENT_SQL = """
+WITH v AS (
+  SELECT query_id, episode_id, lower(trim(judge)) AS judge, arg_max(grade, (try_cast(judged_at AS TIMESTAMPTZ), grade)) AS grade
+  FROM judgments WHERE grade BETWEEN 0 AND 3 AND trim(judge) <> '' AND query_id IS NOT NULL AND episode_id IS NOT NULL GROUP BY 1, 2, 3),
+i AS (
+  SELECT query_id, episode_id, count(*) AS m, count(*) FILTER (grade = 0) AS n0, count(*) FILTER (grade = 1) AS n1,
+    count(*) FILTER (grade = 2) AS n2, count(*) FILTER (grade = 3) AS n3 FROM v GROUP BY 1, 2 HAVING count(*) > 1),
+t AS (
+  SELECT count(*) AS items, CAST(sum(m) AS BIGINT) AS votes,
+    sum(round((n0*(n0-1) + n1*(n1-1) + n2*(n2-1) + n3*(n3-1)) / (m - 1), 9)) AS agree,
+    sum(n0) AS n0, sum(n1) AS n1, sum(n2) AS n2, sum(n3) AS n3 FROM i),
+o AS (
+  SELECT items, votes, 1 - agree / votes AS observed,
+    1 - (n0*(n0-1) + n1*(n1-1) + n2*(n2-1) + n3*(n3-1)) / (votes * (votes - 1)) AS expected FROM t)
+SELECT items, votes, round(observed, 6) AS observed, round(expected, 6) AS expected, round(1 - observed / expected, 6) AS alpha FROM o
+"""
+
+
+def p8_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes = mixing.sized(read_table(spark, d, "documents"))
+    return mixing.report(sizes, mixing.rates(sizes, read_table(spark, d, "mix_targets")))
+
+
+def p8_mix_records(spark: SparkSession, d: str) -> DataFrame:
+    sizes = mixing.sized(read_table(spark, d, "documents"))
+    return mixing.mixed(sizes, mixing.rates(sizes, read_table(spark, d, "mix_targets")))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
+    "p5_found": p5_found,
+    "p5_judges": p5_judges,
+    "p5_agreement": p5_agreement,
+    "p7_found": p7_found,
+    "p7_proximity": p7_proximity,
+    "p8_mix_shares": p8_mix_shares,
+    "p8_mix_records": p8_mix_records,
+    "p9_found": p9_found,
+    "p9_forms": p9_forms,
+}
+SQL: dict[str, str] = {"p5_agreement": P5_AGREEMENT_SQL}
