@@ -5,10 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audiolake.llm import consensus, knn, leakage, lookalikes, mixing
+from audiolake.llm import consensus, knn, languages, leakage, lookalikes, mixing, turns
 from audiolake.session import read_table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(read_table(spark, d, "transcripts"), read_table(spark, d, "transcript_speakers")).select("transcript_id", "turn_no", "speaker_no")
+
+
+def p1_turns(spark: SparkSession, d: str) -> DataFrame:
+    return turns.turns(read_table(spark, d, "transcripts"), read_table(spark, d, "transcript_speakers"))
+
+
+def _language_records(spark: SparkSession, d: str) -> DataFrame:
+    shows = read_table(spark, d, "podcasts").select(F.lit("podcast").alias("record_kind"), F.col("id").alias("record_id"), F.col("language").alias("label"), F.col("description").alias("text"))
+    docs = read_table(spark, d, "documents").select(F.lit("document").alias("record_kind"), F.col("doc_id").alias("record_id"), F.col("lang").alias("label"), "text")
+    return shows.unionByName(docs)
+
+
+def p2_languages(spark: SparkSession, d: str) -> DataFrame:
+    done = languages.identify(_language_records(spark, d))
+    return done.select("record_kind", "record_id", "label", "language", F.round("confidence", 4).alias("confidence"), F.size("passages").alias("passages"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    done = languages.identify(_language_records(spark, d)).filter(F.col("language").isNotNull())
+    wrong = F.when(~F.col("named").eqNullSafe(F.col("language")), F.array(F.struct(F.col("record_kind").alias("record_kind"), F.col("language").alias("language")))).otherwise(F.array())
+    inside = F.when(F.col("record_kind") == "document", F.transform(F.filter("passages", lambda p: p["sentences"] >= 2), lambda p: F.struct(F.lit("segment").alias("record_kind"), p["language"].alias("language")))).otherwise(F.array())
+    rows = done.select("record_id", F.explode(F.concat(wrong, inside)).alias("r"))
+    return rows.select("r.record_kind", "record_id", "r.language").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = knn.nearest(read_table(spark, d, "episode_embeddings"), k=10, least_cosine=0.9)
     return near.select("model", F.least("episode_id", "neighbour_id").alias("episode_id_a"), F.greatest("episode_id", "neighbour_id").alias("episode_id_b")).distinct()
@@ -80,6 +107,10 @@ def p8_mix_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_turns": p1_turns,
+    "p2_found": p2_found,
+    "p2_languages": p2_languages,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
     "p5_found": p5_found,
