@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from audiolake.llm import consensus, knn, languages, leakage, lookalikes, mixing, turns
+from audiolake.llm import consensus, knn, languages, leakage, lookalikes, mixing, neardup, turns
 from audiolake.session import read_table
 
 
@@ -65,6 +65,16 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    same = neardup.pairs(read_table(spark, d, "episodes"), "id", "title", "description")
+    return same.select(F.col("a").alias("episode_id_a"), F.col("b").alias("episode_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Episodes with partners by the same title, description and guid rule, in groups."""
+    return neardup.groups(read_table(spark, d, "episodes"), "id", "title", "description")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     items = consensus.consensus(read_table(spark, d, "judgments"))
     return items.filter((F.col("votes") >= 3) & (F.col("stated") > 1)).select("query_id", "episode_id", "grade")
@@ -113,6 +123,8 @@ QUERIES = {
     "p2_languages": p2_languages,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_judges": p5_judges,
     "p5_agreement": p5_agreement,
