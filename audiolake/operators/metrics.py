@@ -9,6 +9,8 @@ ties in the ideal order do not change a metric; empty runs score 0; NULL grades
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,8 +114,8 @@ def bootstrap(differences: DataFrame, resamples: int = 2000, seed: int = 42, par
         total: dict[int, np.ndarray] = {}
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                digits = int.from_bytes(str((seed, r.block, r.query_id)).encode(), "little") % (1 << 61)
-                w = np.random.default_rng(digits).poisson(1.0, size)
+                digest = hashlib.sha256(f"{seed}:{r.block}:{r.query_id}".encode()).digest()
+                w = np.random.default_rng(int.from_bytes(digest[:8], "little")).poisson(1.0, size)
                 sums = total.setdefault(r.block, np.zeros((2, size)))
                 sums += np.stack([w * r.difference, w])
         for block, sums in total.items():
