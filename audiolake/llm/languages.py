@@ -11,7 +11,7 @@ fit the sample's records are relabelled by their own scores, which removes wrong
 Defined results: NULL and empty texts and texts without a scored word have language NULL and confidence 0;
 labels are compared as code, region code, three-letter code or name, and a label that names no language is
 ``named`` NULL; repeated rows give repeated rows; with no labelled record at all every language is NULL; other
-columns are kept.
+columns are kept, but those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -172,6 +172,7 @@ def identify(df: DataFrame, text: str = "text", label: str = "label", key: str =
     all records are classified, whatever their length.
     """
     df = df.withColumn("named", named(F.col(label)))
+    df = df.drop(*({"language", "confidence", "passages"} - {text, key}))
     chosen = df.filter(F.col("named").isNotNull() & F.length(text).between(1, longest)).select(F.col(text).alias("t"), "named", F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
     model = fit([(r.t, r.named) for r in chosen.orderBy("h", "t").limit(sample).toLocalIterator()])
     names = df.columns

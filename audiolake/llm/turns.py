@@ -141,7 +141,7 @@ class People:
             forms = {" ".join(parts)} if parts else set()
             if len(parts) > 1:
                 first, last = parts[0], parts[-1]
-                forms |= {first, last, f"{first[0]} {last}", f"{first} {last[0]}", f"{last} {first}"}
+                forms |= {first, last, f"{first} {last}", f"{first[0]} {last}", f"{first} {last[0]}", f"{last} {first}"}
             forms |= {f"{role_word}" for role_word, r in _ROLE.items() if r == (role or "").strip().lower()}
             for form in forms:
                 options.setdefault(self.plain(form), set()).add(no)
