@@ -147,8 +147,10 @@ def shift(a: DataFrame, b: DataFrame, names: list[str]) -> DataFrame:
     return stacked.groupBy("feature").agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("max_difference"), F.coalesce(F.try_divide(F.abs(F.avg("x") - F.avg("y")), spread), F.lit(0.0)).alias("standard_shift"), F.count_if(F.isnan("x") | F.isnan("y")).alias("missing"))
 
 
-def show_shares(counts: DataFrame, share: float) -> DataFrame:
-    """Shows of the head: the first max(1, int(n * share)) by falling count, then id. Columns: podcast_id, episodes."""
-    n = counts.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(share))).alias("most"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("episodes"), "podcast_id")))  # one row per show
-    return ranked.crossJoin(n).filter(F.col("place") <= F.col("most")).drop("most")
+def head_shows(counts: DataFrame, share: float) -> DataFrame:
+    """Shows of the head: the first max(1, int(n * share)) by falling count, then id. Columns: podcast_id, episodes.
+
+    Only the number of shows reaches the driver; the order is a distributed sort.
+    """
+    most = max(1, int(counts.count() * share))
+    return counts.orderBy(F.desc("episodes"), "podcast_id").limit(most)

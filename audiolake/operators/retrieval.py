@@ -107,46 +107,56 @@ def top(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: i
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, k: int, dim: int, block: int = 256) -> DataFrame:
+def vector_top(corpus: DataFrame, queries: DataFrame, k: int, dim: int, per_block: int = 4096) -> DataFrame:
     """(query_id, id, similarity, rank): exact cosine top-k. ``corpus``: id, embedding. ``queries``: query_id, embedding.
 
-    Query vectors are spread in blocks over the corpus partitions: a corpus row meets the queries of one block in a matrix
-    product. The number of blocks multiplies the corpus scan, the block bounds a task's memory.
+    The stated queries are dealt to blocks of about ``per_block``, the corpus to parts; the queries of a block meet each part
+    in one task, which reads the part in batches and lets only its best ``k`` per query leave. One query block
+    reads the corpus once; nothing passes through the driver but the number of queries.
     """
-    good = corpus.filter(usable_vector(F.col("embedding"), dim)).select("id", "embedding")
+    own = corpus.filter(usable_vector(F.col("embedding"), dim)).select("id", "embedding").dropDuplicates(["id"])
     asked = queries.filter(usable_vector(F.col("embedding"), dim)).select("query_id", "embedding").dropDuplicates(["query_id"])
-    q = asked.toPandas()  # a stated query set
-    ids, matrix = q["query_id"].to_numpy(), (np.stack(q["embedding"].to_list()).astype(np.float64) if len(q) else np.zeros((0, dim)))
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-
-    def scan(batches):
-        best: dict = {}
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own = pdf["id"].to_numpy()
-            for at in range(0, len(ids), block):
-                s = matrix[at : at + block] @ x.T
-                keep = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, : 2 * k]
-                for r in range(s.shape[0]):
-                    best.setdefault(at + r, []).append((own[keep[r]], s[r, keep[r]]))
-                    if len(best[at + r]) > 8:
-                        best[at + r] = [_best(best[at + r], k)]
-        for r, lists in best.items():
-            i, s = _best(lists, k)
-            yield pd.DataFrame({"query_id": ids[r], "id": i, "similarity": s})
-
-    kind = asked.schema["query_id"].dataType.simpleString()
-    found = good.mapInPandas(scan, f"query_id {kind}, id long, similarity double")
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-asked.count() // per_block))
+    deal = lambda c, n: F.pmod(F.hash(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = own.select(every(blocks).alias("block"), deal("id", parts).alias("part"), F.lit(False).alias("asks"), "id", "embedding")
+    asking = asked.select(deal("query_id", blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding")
+    rows = stored.unionByName(asking).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
+    found = rows.mapInPandas(lambda batches: _scan_blocks(batches, k), "query_id long, id long, similarity double")
     return top(found, "query_id", [F.desc(F.round("similarity", 9)), F.asc("id")], k)
 
 
-def _best(lists, k):
-    i, s = np.concatenate([x[0] for x in lists]), np.concatenate([x[1] for x in lists])
-    order = np.lexsort((i, -np.round(s, 9)))[:k]
-    return i[order], s[order]
+def _scan_blocks(batches, k: int):
+    """Best ``k`` of each (block, part), whose queries come first."""
+    key, ids, matrix, best = None, None, None, []
+    for pdf in batches:
+        for group, part in pdf.groupby(["block", "part"], sort=False):
+            if group != key:
+                yield from _emit(ids, best)
+                key, ids, matrix, best = group, np.empty(0, np.int64), None, []
+            x = np.stack(part["embedding"].to_list()).astype(np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            asks = part["asks"].to_numpy()
+            if asks.any():
+                ids = np.concatenate([ids, part["id"].to_numpy()[asks]])
+                matrix = x[asks] if matrix is None else np.concatenate([matrix, x[asks]])
+            if matrix is None or asks.all():
+                continue
+            own, x = part["id"].to_numpy()[~asks], x[~asks]
+            for at in range(0, len(own), 1024):
+                s = np.round(matrix @ x[at : at + 1024].T, 9)
+                i = np.broadcast_to(own[at : at + 1024], s.shape)
+                if best:
+                    i, s = np.concatenate([best[0], i], axis=1), np.concatenate([best[1], s], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best = [np.take_along_axis(i, order, axis=1), np.take_along_axis(s, order, axis=1)]
+    yield from _emit(ids, best)
+
+
+def _emit(ids, best):
+    if best:
+        yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "id": best[0].ravel(), "similarity": best[1].ravel()})
 
 
 def popular(df: DataFrame, k: int, group: Sequence[str] = ()) -> DataFrame:

@@ -342,9 +342,9 @@ def index_freshness(spark, d):
 
 
 @query("""WITH c AS (SELECT podcast_id, count(*) AS episodes FROM episodes GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY episodes DESC, podcast_id) AS place FROM c)
-SELECT podcast_id, episodes, place FROM r WHERE place <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM c)""")
+SELECT podcast_id, episodes FROM r WHERE place <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM c)""")
 def head_shows(spark, d):
-    return metrics.show_shares(read_table(spark, d, "episodes").groupBy("podcast_id").agg(F.count(F.lit(1)).alias("episodes")), 0.1)
+    return metrics.head_shows(read_table(spark, d, "episodes").groupBy("podcast_id").agg(F.count(F.lit(1)).alias("episodes")), 0.1)
 
 
 @query("""WITH st AS (SELECT id, podcast_id, nullif(trim(rss_guid), '') AS g, nullif(trim(enclosure_url), '') AS u, nullif(trim(content_hash), '') AS h, content_hash AS raw FROM episodes WHERE id % 3 <> 0),
