@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from audiolake.functions import hashing, numbers, text
-from audiolake.functions.plan import above
+from audiolake.plans.guards import above
 from audiolake.operators import catalog, datasets, metrics, monitoring, ranking, retrieval, speech, timestamps, understand
 from audiolake.session import read_table
 from audiolake.sources import files
