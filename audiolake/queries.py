@@ -678,6 +678,51 @@ def outbox_drain(spark, d):
     return streams.drain_outbox(box, {"view": lambda x: None, "click": lambda x: None})
 
 
+# --- scans and vocabularies ------------------------------------------------------------------------------------
+
+
+@query("SELECT id, title FROM episodes WHERE id > 500 ORDER BY id LIMIT 100")
+def keyset_page(spark, d):
+    """One page of a resumable scan: rows after a key, in key order."""
+    return read_table(spark, d, "episodes").filter(F.col("id") > 500).orderBy("id").limit(100).select("id", "title")
+
+
+@query("""SELECT kind, value, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, value) AS place FROM (SELECT 'category' AS kind, lower(trim(c)) AS value, count(DISTINCT id) AS n FROM (SELECT id, unnest(categories) AS c FROM podcasts) WHERE trim(c) <> '' GROUP BY 2
+UNION ALL SELECT 'language', string_split(replace(lower(trim(coalesce(language, ''))), '_', '-'), '-')[1], count(*) FROM podcasts GROUP BY 2) WHERE n >= 3 AND value <> ''""")
+def vocabularies(spark, d):
+    """Values by falling frequency, then name, of at least three shows."""
+    p = read_table(spark, d, "podcasts")
+    cats = p.select("id", F.explode("categories").alias("c")).select(F.lit("category").alias("kind"), F.lower(F.trim("c")).alias("value"), "id").distinct()
+    langs = p.select(F.lit("language").alias("kind"), text.primary_subtag(F.col("language")).alias("value"), "id")
+    rows = cats.unionByName(langs).filter("value <> ''").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "value")))
+
+
+@query(f"""WITH {_QRELS}, c AS (SELECT e.id AS episode_id, CASE WHEN m.episode_id IS NOT NULL THEN 'seen' WHEN e.podcast_id IN (SELECT podcast_id FROM episodes JOIN (SELECT DISTINCT episode_id FROM episode_embeddings WHERE model = 'e5') v ON v.episode_id = id) THEN 'known_podcast' ELSE 'unseen_podcast' END AS cohort
+ FROM episodes e LEFT JOIN (SELECT DISTINCT episode_id FROM episode_embeddings WHERE model = 'e5') m ON m.episode_id = e.id)
+SELECT cohort, count(*) AS judged, count(DISTINCT query_id) AS queries FROM qrels JOIN c USING (episode_id) GROUP BY 1""")
+def cold_start(spark, d):
+    """Judged items by whether their episode, or only their show, has vectors."""
+    e = read_table(spark, d, "episodes").select(F.col("id").alias("episode_id"), "podcast_id")
+    seen = read_table(spark, d, "episode_embeddings").filter(F.col("model") == "e5").select("episode_id").distinct().withColumn("has", F.lit(True))
+    marked = e.join(seen, "episode_id", "left")
+    shows = marked.filter("has").select("podcast_id").distinct().withColumn("known", F.lit(True))
+    cohort = F.when(F.col("has"), "seen").when(F.col("known"), "known_podcast").otherwise("unseen_podcast")
+    rows = _qrels(spark, d).join(marked.join(shows, "podcast_id", "left").select("episode_id", cohort.alias("cohort")), "episode_id")
+    return rows.groupBy("cohort").agg(F.count(F.lit(1)).alias("judged"), F.count_distinct("query_id").alias("queries"))
+
+
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'lexical' ELSE 'vector' END AS leg, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status FROM events)
+SELECT leg, status, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM l GROUP BY 1, 2""")
+def leg_outcomes(spark, d):
+    """Status of each retrieval leg over a serving log built from the events."""
+    e = read_table(spark, d, "events")
+    leg = F.when(F.col("event_type").isin("view", "click"), "lexical").otherwise("vector")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").otherwise("ok")
+    log = e.select(F.create_map(leg, F.struct(status.alias("status"), F.lit(1).alias("count"))).alias("legs"))
+    return monitoring.leg_status(log).withColumn("share", F.round("share", 6))
+
+
 # --- relational base -------------------------------------------------------------------------------------------
 
 
