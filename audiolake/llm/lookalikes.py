@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from audiolake.session import store
+
 # Letters that look like the Latin letter on the left, from the public confusables of Unicode (UTS 39).
 LOOKALIKES = {
     "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡ", "h": "һհ", "i": "іιı", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո",
@@ -51,7 +53,12 @@ def script(c: str) -> str:
 
 
 def _ignorable(c: str) -> bool:
-    return unicodedata.category(c) == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️" or "\U000e0000" <= c <= "\U000e0fff"
+    return unicodedata.category(c) == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or "\ufe00" <= c <= "\ufe0f" or "\U000e0000" <= c <= "\U000e0fff"
+
+
+_POINTS = [chr(i) for i in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000)) if not 0xD800 <= i < 0xE000]
+_IGNORED = re.compile("[" + "".join(c for c in _POINTS if _ignorable(c)) + "]")
+_BLANK = re.compile("[" + "".join(c for c in _POINTS if unicodedata.category(c) == "Zs") + "]")
 
 
 def decompose(text: str) -> str:
@@ -59,7 +66,9 @@ def decompose(text: str) -> str:
     text = unicodedata.normalize("NFKD", _BREAKS.sub("\n", text).replace("\t", " "))
     if text.isascii():
         return text
-    return "".join(" " if unicodedata.category(c) == "Zs" else c for c in text if not _ignorable(c))
+    if max(text) > "\uffff":  # beyond the tables of the two patterns
+        text = "".join(c for c in text if c <= "\uffff" or not _ignorable(c))
+    return _BLANK.sub(" ", _IGNORED.sub("", text))
 
 
 class Scores:
@@ -181,7 +190,7 @@ def pairs(df: DataFrame, key: str, text: str, expand: int = 16) -> DataFrame:
     every two different texts are linked while a text that a third of all rows share stays linear.
     """
     rows = form(df.select(key, text).filter(F.length(text) > 0), text).select(key, F.sha2("form", 256).alias("g"), F.sha2(text, 256).alias("v"))
-    rows = rows.distinct()
+    rows = store(rows.distinct(), "forms")  # read twice below; the forms are computed once
     alike = rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter(F.col("lo") != F.col("hi")).select("g")
     ranked = rows.join(alike, "g", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("g", "v").orderBy(key)))
     few, more, first = ranked.filter(F.col("n") <= expand), ranked.filter(F.col("n") > expand), ranked.filter(F.col("n") == 1)
