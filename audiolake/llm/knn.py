@@ -7,8 +7,8 @@ as the cosine does). A vector is stored once per table and looks into its own bu
 distances to the crossed boundaries. Candidates of all tables are merged and ranked by exact cosine.
 
 Equal vectors are one class, which is hashed once, so a vector that a third of all rows share is no hot bucket; of its members only the first ``k + 1`` episodes can appear in a top
-k ordered by (similarity, id). A bucket with more than ``bucket_limit`` classes is divided by a finer key of
-the same projections, whose cells are again joined only with themselves.
+k ordered by (similarity, id). A bucket with more than ``bucket_limit`` classes is dealt to blocks of about that
+many, and what looks into it is copied to each block, so that all pairs of a bucket are compared.
 
 Defined results: NULL, short, long, non-finite and all-zero vectors and rows with NULL keys are left out;
 repeated rows count once; an episode with several vectors under one model takes its best similarity;
@@ -86,23 +86,21 @@ def _fold(key: np.ndarray, salt: int) -> np.ndarray:
 
 
 def bucket_rows(x: np.ndarray, tables: int, functions: int, width: float, probes: int, seed: int, salt: np.ndarray | None = None):
-    """(row, bucket, fine key, is_probe) of each table: the own bucket, where the vector is stored, and the probed ones.
+    """(row, bucket, is_probe) of each table: the own bucket, where the vector is stored, and the probed ones.
 
-    ``salt`` keeps vectors of different models apart. The fine key holds the projections at a quarter of the width.
+    ``salt`` keeps vectors of different models apart.
     """
     a, b = _planes(x.shape[1], tables, functions, seed)
     y = (x @ a) / width + b
     base = np.floor(y).astype(np.int32)
     frac = y - base
-    cell = np.floor(frac * 4).astype(np.int32)
-    rows, keys, fines, kinds = [], [], [], []
+    rows, keys, kinds = [], [], []
     n = np.arange(len(x))
     salt = np.zeros(len(x), np.int64) if salt is None else salt
     sets = _probe_sets(functions, probes)
     for t in range(tables):
         s = slice(t * functions, (t + 1) * functions)
         k, f = base[:, s], frac[:, s]
-        fine = _fold(cell[:, s][:, : max(2, functions // 2)], t).astype(np.int32)
         dist = np.concatenate([f, 1 - f], axis=1)  # to the lower, then to the upper boundary
         order = np.argsort(dist, axis=1)
         for chosen in [(), *sets]:
@@ -114,9 +112,8 @@ def bucket_rows(x: np.ndarray, tables: int, functions: int, width: float, probes
                     p[n, c % functions] += np.where(c < functions, -1, 1)
             rows.append(n)
             keys.append(_fold(p, t) ^ salt)
-            fines.append(fine)
             kinds.append(np.full(len(x), bool(chosen)))
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(fines), np.concatenate(kinds)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
 
 
 def _sketch(x: np.ndarray, seed: int) -> np.ndarray:
@@ -133,19 +130,21 @@ def candidate_pairs(classes: DataFrame, tables: int, functions: int, width: floa
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 x, own = _unit(part), part.column("class_id").to_numpy()
-                row, key, fine, probe = bucket_rows(x, tables, functions, width, probes, seed, part.column("salt").to_numpy())
-                key = (key & ~255) | (fine & 255)  # the finer key is the last byte
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(_sketch(x, seed)[row]), pa.array(probe)], ["cell", "class_id", "sketch", "probe"])
+                row, key, probe = bucket_rows(x, tables, functions, width, probes, seed, part.column("salt").to_numpy())
+                key &= ~255  # seven bytes tell buckets apart; the zero byte compresses
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(_sketch(x, seed)[row]), pa.array(probe)], ["bucket", "class_id", "sketch", "probe"])
 
-    rows = classes.mapInArrow(entries, "cell long, class_id long, sketch long, probe boolean")
-    bucket = F.col("cell").bitwiseAND(~255)
+    rows = classes.mapInArrow(entries, "bucket long, class_id long, sketch long, probe boolean")
     stored, probing = rows.filter(~F.col("probe")).drop("probe"), rows.drop("probe")
-    hot = stored.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("bucket", F.lit(True).alias("hot"))
+    hot = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_limit).select("bucket", F.ceil(F.col("n") / bucket_limit).alias("blocks"))
     hot = store(hot, "hot")
     if hot.count() <= 100_000:  # 1.6 MB at most; beyond that the join shuffles
         hot = F.broadcast(hot)
-    keyed = lambda df: df.withColumn("bucket", bucket).join(hot, "bucket", "left").select(F.when(F.col("hot"), F.col("cell")).otherwise(F.col("bucket")).alias("cell"), "class_id", "sketch")
-    s, p = keyed(stored).alias("s"), keyed(probing).alias("p")
+    place = lambda block: F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", block))
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
+    every = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    s = stored.join(hot, "bucket", "left").select(place(own).alias("cell"), "class_id", "sketch").alias("s")
+    p = probing.join(hot, "bucket", "left").select("*", every.alias("block")).select(place(F.col("block")).alias("cell"), "class_id", "sketch").alias("p")
     near = F.bit_count(F.col("s.sketch").bitwiseXOR(F.col("p.sketch"))) <= most_bits
     met = s.join(p, (F.col("s.cell") == F.col("p.cell")) & (F.col("s.class_id") != F.col("p.class_id")) & near)
     return met.select(F.least("s.class_id", "p.class_id").alias("a"), F.greatest("s.class_id", "p.class_id").alias("b")).distinct()
@@ -196,7 +195,7 @@ def search(df: DataFrame, queries: Column, k: int = 10, tables: int = 6, functio
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 x, ask = _unit(part), part.column("query").to_numpy(zero_copy_only=False)
-                row, key, _, probe = bucket_rows(x, tables, functions, width, probes, seed, part.column("salt").to_numpy())
+                row, key, probe = bucket_rows(x, tables, functions, width, probes, seed, part.column("salt").to_numpy())
                 own, more = np.flatnonzero(~probe), np.flatnonzero(ask[row])
                 row, key, probe = np.r_[row[own], row[more]], np.r_[key[own], key[more]], np.r_[np.zeros(len(own), bool), np.ones(len(more), bool)]
                 flat = pa.ListArray.from_arrays(np.arange(0, (len(row) + 1) * x.shape[1], x.shape[1], dtype=np.int32), pa.array(x[row].ravel()))

@@ -59,6 +59,20 @@ def test_hot_bucket_is_divided(spark):
     assert got.select("episode_id").distinct().count() > 280
 
 
+def test_hot_bucket_keeps_its_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(64)
+    x = base + rng.standard_normal((300, 64)) * 0.25
+    df = spark.createDataFrame([(i, "m", [float(v) for v in r]) for i, r in enumerate(x)], "episode_id long, model string, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    want = {(i, j) for i, j in zip(*np.where(s >= 0.9))}
+    pairs = lambda limit: {(r.episode_id, r.neighbour_id) for r in knn.nearest(df, k=299, bucket_limit=limit).collect()}
+    divided, whole = pairs(5), pairs(10**6)
+    assert divided == whole <= want and len(divided) / len(want) >= 0.9
+
+
 def test_probe_order_is_by_cost():
     sets = knn._probe_sets(4, 6)
     assert sets[0] == (0,) and len(set(sets)) == 6 and all(7 - j not in s for s in sets for j in s)
