@@ -6,7 +6,8 @@ and joined by shuffle otherwise. For each window of ``run`` words of an item the
 anchor; a phrase of ``run`` words shared with a document must contain an anchor at the same offset. The postings of
 an anchor, shifted by its position in the item, give (item, doc, offset); two anchors of one window must agree, and
 the remaining terms of each offset are intersected in the documents' own token arrays, which yields the exact
-length of the longest run.
+length of the longest run. Edited copies (``proximity``) are found by so many of an item's rarest words that a copy
+cannot lack them all.
 
 Defined results: NULL and empty texts match nothing; repeated documents are each reported; several equal runs
 are one row; empty tables give empty results; other columns are ignored.
@@ -14,8 +15,11 @@ are one row; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -76,22 +80,60 @@ def leaks(items: DataFrame, docs: DataFrame, run: int = 12) -> DataFrame:
     return aligned.select("item_id", "doc_id", state["best"].alias("longest")).filter(F.col("longest") >= run).groupBy("item_id", "doc_id").agg(F.max("longest").alias("longest"))
 
 
-def proximity(items: DataFrame, docs: DataFrame, least_share: float = 0.8, slack: int = 8, run: int = 12) -> DataFrame:
+def entry_words(items: DataFrame, frequency: DataFrame, least_share: float) -> DataFrame:
+    """(term, item_id): of each item's distinct words the rarest, one more than a matching span may lack.
+
+    A span with ``least_share`` of the words lacks too few to hold none of these. Words that no training text has count as
+    lacking: they take a place and find nothing.
+    """
+    words = postings(items, "item_id", "text").select("item_id", "term").distinct().join(frequency, "term", "left")
+    allowed = F.floor(F.count(F.lit(1)).over(Window.partitionBy("item_id")) * (1 - least_share) + 1e-9)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term"))
+    return words.select("term", "item_id", "n", place.alias("place"), allowed.alias("allowed")).filter((F.col("place") <= F.col("allowed") + 1) & F.col("n").isNotNull()).select("term", "item_id")
+
+
+def _most_in_span(item: list[str], doc: list[str], slack: int) -> int:
+    """Most distinct words of ``item`` in a span of ``doc`` that an occurrence of one of them opens."""
+    ids = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    at = np.array([p for p, w in enumerate(doc) if w in ids], np.int64)
+    if not len(at):
+        return 0
+    word = np.array([ids[doc[p]] for p in at])
+    length = len(item) + 2 * slack
+    # the span that starts at s holds the word at p as its first of that word if s is after the one before and reaches p
+    order = np.lexsort((at, word))
+    p, w = at[order], word[order]
+    before = np.where(np.r_[False, w[1:] == w[:-1]], np.r_[0, p[:-1]], -length - len(doc))
+    change = np.zeros(len(doc) + length + 1, np.int64)  # starts from -length on
+    np.add.at(change, np.maximum(before, p - length) + 1 + length, 1)
+    np.add.at(change, p + 1 + length, -1)
+    held = np.cumsum(change)
+    places: dict[int, list[int]] = {}
+    for k, t in enumerate(item):
+        places.setdefault(ids[t], []).append(k)
+    starts = np.concatenate([(p[w == i][:, None] - np.array(k)[None, :]).ravel() for i, k in places.items()]) - slack
+    return int(held[starts + length].max())
+
+
+def proximity(items: DataFrame, docs: DataFrame, least_share: float = 0.8, slack: int = 8) -> DataFrame:
     """(item_id, doc_id, matched, share): documents with most of an item's distinct words close together.
 
-    Each anchor occurrence opens a span of the item's length plus ``slack`` words on both sides of the aligned
-    place; ``share`` is the part of the item's distinct words found in it. Catches copies with edits inside.
+    Each occurrence of an item's word opens a span of the item's length plus ``slack`` words on both sides of the aligned
+    place; ``share`` is the part of the item's distinct words found in it. Catches copies with edits inside. Documents
+    are found by the item's rarest words and verified if they hold enough of its words at all.
     """
-    items, docs = items.select("item_id", "text"), docs.select("doc_id", "text")
+    items, docs = items.select("item_id", "text").distinct(), docs.select("doc_id", "text").distinct()
     vocabulary = postings(items, "item_id", "text").select("term").distinct()
-    frequency = postings(docs, "doc_id", "text", vocabulary).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    anchor = anchors(items, frequency, run)
-    lists = postings(docs, "doc_id", "text", anchor.select("term").distinct())
-    met = lists.withColumnRenamed("position", "place").join(anchor, "term").select("item_id", "doc_id", (F.col("place") - F.col("position")).alias("offset")).distinct()
+    held = postings(docs, "doc_id", "text", vocabulary).select("doc_id", "term").distinct()
+    frequency = held.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    met = held.join(entry_words(items, frequency, least_share), "term").select("item_id", "doc_id").distinct()
     aligned = met.join(items.select("item_id", tokens(F.col("text")).alias("iw")), "item_id").join(docs.select("doc_id", tokens(F.col("text")).alias("dw")), "doc_id")
-    begin = F.greatest(F.lit(0), F.col("offset") - slack)
-    end = F.least(F.size("dw"), F.col("offset") + F.size("iw") + slack)
-    span = F.slice("dw", begin + 1, F.greatest(F.lit(0), end - begin))
-    scored = aligned.select("item_id", "doc_id", F.size(F.array_intersect("iw", span)).alias("matched"), F.size(F.array_distinct("iw")).alias("of"))
-    best = scored.groupBy("item_id", "doc_id").agg(F.max("matched").alias("matched"), F.max("of").alias("of"))
-    return best.select("item_id", "doc_id", "matched", (F.col("matched") / F.col("of")).alias("share")).filter(F.col("share") >= least_share)
+    of = F.size(F.array_distinct("iw"))
+    aligned = aligned.select("item_id", "doc_id", "iw", "dw", of.alias("of"), F.size(F.array_intersect("iw", "dw")).alias("anywhere")).filter(F.col("anywhere") >= F.col("of") * least_share - 1e-9)
+
+    def most(iw: pd.Series, dw: pd.Series) -> pd.Series:
+        return pd.Series([_most_in_span(list(a), list(b), slack) for a, b in zip(iw, dw, strict=True)], dtype="int32")
+
+    scored = aligned.select("item_id", "doc_id", "of", F.pandas_udf(most, T.IntegerType())("iw", "dw").alias("matched"))
+    best = scored.select("item_id", "doc_id", "matched", (F.col("matched") / F.col("of")).alias("share")).filter(F.col("share") >= least_share)
+    return best.groupBy("item_id", "doc_id").agg(F.max_by("matched", "share").alias("matched"), F.max("share").alias("share"))

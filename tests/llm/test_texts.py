@@ -69,6 +69,45 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.proximity(it, do, least_share=0.9).filter("item_id = 52").count() == 1
 
 
+def brute_spans(items, docs, least_share, slack):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, a in items:
+        wa = words(a)
+        for j, b in docs:
+            wb = words(b)
+            starts = {p - k - slack for p, w in enumerate(wb) for k, x in enumerate(wa) if w == x}
+            most = max((len(set(wa) & set(wb[max(0, s) : max(0, s + len(wa) + 2 * slack)])) for s in starts), default=0)
+            if most and most / len(set(wa)) >= least_share:
+                out[i, j] = most
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(15)]
+    items, docs = [], [(j, " ".join(rng.choice(common) for _ in range(50))) for j in range(40)]
+    for i in range(25):
+        w = [rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(60)}" for _ in range(rng.choice([6, 9, 20, 35]))]
+        items.append((i, " ".join(w)))
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.randrange(0, len(w) // 4 + 2)):
+                v[rng.randrange(len(v))] = f"new{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                v = v[len(v) // 2 :] + v[: len(v) // 2]
+            head = [rng.choice(common) for _ in range(rng.randrange(30))]
+            docs.append((100 + len(docs), " ".join(head + v) + " the end"))
+    items += [(50, None), (51, ""), (52, " ".join(f"absent{k}" for k in range(3)) + " " + items[2][1]), (53, "two words")]
+    docs += [(900, None), (901, ""), (902, "Two, WORDS")]
+    it = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    do = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
+    got = {(r.item_id, r.doc_id): r.matched for r in leakage.proximity(it, do).collect()}
+    want = brute_spans(items, docs, 0.8, 8)
+    assert got == want and (53, 902) in got and len(want) > 50
+    assert leakage.proximity(it.limit(0), do).count() == leakage.proximity(it, do.limit(0)).count() == 0
+
+
 def test_forms_and_pairs(spark):
     base = "The opera begins in Café Zürich"
     seen = {1: base, 2: base.replace("o", "ο").replace("e", "е"), 3: "Ｔｈｅ opera begins in Café Zürich", 4: "The op​era be­gins in Café Zürich", 5: base, 6: base.lower(), 7: base.replace("é", "e"), 8: base.replace(" in ", "\nin "), 9: "москва о", 10: "", 11: None, 12: "​", 13: base * 500}
