@@ -169,3 +169,23 @@ def test_copies_are_linked(spark):
     df = spark.createDataFrame([(i, "", text) for i in range(200)] + [(500, "", text + " more")], "id long, title string, description string")
     got = rows(neardup.pairs(df, "id", "title", "description", expand=4))
     assert {x for p in got for x in p} == {*range(200), 500} and len(got) < 450
+
+
+def test_long_chains_are_one_group(spark):
+    rng = random.Random(9)
+    edges, want = [], {}
+    for size in (2, 3, 60, 1500):
+        ids = rng.sample(range(len(want) * 10**6, len(want) * 10**6 + 10**5), size)
+        edges += list(zip(ids, ids[1:], strict=False))
+        want |= dict.fromkeys(ids, min(ids))
+    df = spark.createDataFrame(edges + edges[:5] + [(b, a) for a, b in edges[:9]], "a long, b long")
+    assert rows(neardup.components(df)) == sorted(want.items(), key=str)
+    assert neardup.components(df.limit(0)).count() == 0
+
+
+def test_successive_versions_are_one_group(spark):
+    words = [f"w{i}" for i in range(900)]
+    order = random.Random(2).sample(range(120), 120)
+    df = spark.createDataFrame([(order[i], "", " ".join(words[7 * i : 7 * i + 30])) for i in range(120)], "id long, title string, description string")
+    grouped = neardup.groups(df, "id", "title", "description").collect()
+    assert len(grouped) == 120 and len({r.group_id for r in grouped}) == 1
