@@ -189,3 +189,15 @@ def test_successive_versions_are_one_group(spark):
     df = spark.createDataFrame([(order[i], "", " ".join(words[7 * i : 7 * i + 30])) for i in range(120)], "id long, title string, description string")
     grouped = neardup.groups(df, "id", "title", "description").collect()
     assert len(grouped) == 120 and len({r.group_id for r in grouped}) == 1
+
+
+def test_variants_of_one_set_are_all_paired(spark):
+    base = [f"w{i}" for i in range(40)]
+    variants = [" ".join(w.upper() if i == k else w for i, w in enumerate(base)) for k in range(30)]
+    near = [" ".join(base) + f" more{k}" for k in range(3)]
+    texts = variants + near + [variants[3]] * 9
+    df = spark.createDataFrame([(i, None if i % 2 else "", t) for i, t in enumerate(texts)], "id long, title string, description string")
+    got = {(r.a, r.b) for r in neardup.pairs(df, "id", "title", "description", expand=4).collect()}
+    copies = [i for i, t in enumerate(texts) if t == variants[3]]
+    left_out = {(a, b) for a in copies[1:] for b in copies[4:] if a < b}
+    assert got == {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))} - left_out
