@@ -1,20 +1,22 @@
 """Speech transcripts into clean, ordered speaker turns.
 
-A file is read to segments (file place, start time, label, text). Their order is a set of precedence constraints:
-a time edge between neighbours in start time, a file edge from each segment without a time to its
-neighbours in the file. Time edges outrank file edges; a file edge that contradicts them is
-dropped. The segments are then sorted topologically, cleaned of hesitations and sound annotations,
-given a speaker of the transcript's own list, and merged to turns.
+A file is read to cues (place in the file, start time, cue number), and a cue to the lines of its speakers. The
+order of these segments is found from weighted precedence edges: the lines of one cue follow each other
+(dialogue order, the strongest), an earlier start comes before a later one, a smaller cue number before the next, and
+a cue before the next one in the file (the weakest). Edges enter strongest first into an online topological order;
+an edge that would close a cycle contradicts stronger ones and is dropped. The segments are then taken in topological
+order, cleaned of hesitations and sound annotations, given a speaker of the transcript's own list, and
+merged to turns.
 
 Defined results: NULL or empty content and files without speech give no turn; a transcript without
 listed speakers gives no turn; a leading segment without label belongs to the only listed speaker, if
-there is one, and to nobody otherwise; a label that names nobody on the list is text; repeated transcript ids are
+there is one, and to nobody otherwise; a label that names nobody on the list is text; of cues with one
+start time the smaller cue number comes first, then the earlier place in the file; repeated transcript ids are
 read as one file each and their turns are numbered apart by file; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -23,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Weights of the precedence edges.
+DIALOGUE, TIME, NUMBER, FILE = 8, 4, 2, 1
+
 # Hesitation sounds of the five languages.
 HESITATIONS = "um uh uhm er erm hmm hm mm mhm mm-hm mmh mmm uh-huh ah eh ehm em euh heu hum bah äh ähm öh öhm hä mhh ãh hã hum-hum hmm-hm".split()
 # Words for the roles of speakers.
@@ -90,7 +95,7 @@ def _json_segments(content: str):
             start = _seconds(*found.groups()) if found else float(start) if re.fullmatch(r"\d+(\.\d+)?", start.strip()) else None
         label = first(item, "speaker", "speakerName", "name")
         body = first(item, "body", "text", "content")
-        yield (float(start) if isinstance(start, (int, float)) else None), (str(label).strip() if label is not None else None), str(body or "")
+        yield (float(start) if isinstance(start, (int, float)) else None), (str(label).strip() if label is not None else None), str(body or ""), None
 
 
 def _cue_segments(content: str):
@@ -99,18 +104,25 @@ def _cue_segments(content: str):
         at = next((i for i, line in enumerate(lines) if _CUE.match(line)), None)
         if at is None:
             continue
-        start = _seconds(*_CUE.match(lines[at]).groups())
+        start, number = _seconds(*_CUE.match(lines[at]).groups()), _cue_number(lines[at - 1]) if at else None
         body = []
         for line in lines[at + 1 :]:
             again = _CUE.match(line)
             if again:  # cues without a blank line between them
-                if body and body[-1].strip().isdigit():
+                following = _cue_number(body[-1]) if body and body[-1].strip().isdigit() else None
+                if following is not None:
                     body.pop()
-                yield start, None, "\n".join(body)
-                start, body = _seconds(*again.groups()), []
+                yield start, None, "\n".join(body), number
+                start, number, body = _seconds(*again.groups()), following, []
             else:
                 body.append(line)
-        yield start, None, "\n".join(body)
+        yield start, None, "\n".join(body), number
+
+
+def _cue_number(line: str) -> int | None:
+    """The number of a cue's own line, as SRT has it and many VTT files."""
+    found = re.fullmatch(r"[A-Za-z]{0,8}[-_ ]?(\d{1,9})", line.strip())
+    return int(found[1]) if found else None
 
 
 def _text_segments(content: str, known):
@@ -126,7 +138,7 @@ def _text_segments(content: str, known):
             start, label, line = _seconds(*found.groups()[1:]), found[1], line[found.end() :]
         elif found := _LEAD.match(line):
             start, line = _seconds(*found.groups()), line[found.end() :]
-        yield start, label, line
+        yield start, label, line, None
         start, label = None, None
 
 
@@ -202,6 +214,26 @@ def _split_label(text: str, people: People) -> tuple[int | None, str]:
     return None, re.sub(r"^(?:>>+)[ \t]*", "", text)
 
 
+def _lines(text: str, people: People) -> list[tuple[int | None, str]]:
+    """(speaker or None, text) of each speaker's lines in one cue; a line without label goes on with the one before it."""
+    parts, at = [], 0
+    for found in _VOICE.finditer(text):
+        if people.find(found[1]) is not None and found.start() > at:
+            parts.append(text[at : found.start()])
+            at = found.start()
+    out: list[tuple[int | None, str]] = []
+    for part in (*parts, text[at:]):
+        for line in part.split("\n"):
+            if not line.strip():
+                continue
+            who, rest = _split_label(line.strip(), people)
+            if out and who is None:
+                out[-1] = (out[-1][0], f"{out[-1][1]} {rest}")
+            else:
+                out.append((who, rest))
+    return out
+
+
 def clean(text: str) -> str:
     """Text without tags, sound annotations and hesitations."""
     text = _FILLER.sub("", _SOUNDS.sub(" ", _TAGS.sub(" ", text)))
@@ -209,45 +241,74 @@ def clean(text: str) -> str:
     return re.sub(r"^[,.;… ]+", "", text)
 
 
-def order(starts: list[float | None]) -> list[int]:
-    """Topological order of segments in file order with these start times (None: unknown).
+class Order:
+    """A topological order under insertion of edges; an edge that would close a cycle is refused.
 
-    Constraints: (1) start time, ties in file order; (2) a segment without time follows its file predecessor and
-    precedes its file successor. Where (2) contradicts (1) the edge is dropped.
+    Only the nodes between the two ends of a contradicting edge are looked at and moved.
+    """
+
+    def __init__(self, n: int):
+        self.at = list(range(n))
+        self.after: list[list[int]] = [[] for _ in range(n)]
+        self.before: list[list[int]] = [[] for _ in range(n)]
+
+    def _reach(self, start: int, edges: list[list[int]], inside) -> list[int]:
+        seen, todo = {start}, [start]
+        while todo:
+            for j in edges[todo.pop()]:
+                if j not in seen and inside(self.at[j]):
+                    seen.add(j)
+                    todo.append(j)
+        return list(seen)
+
+    def add(self, a: int, b: int) -> bool:
+        """Enter a -> b; False if b comes before a already."""
+        low, high = self.at[b], self.at[a]
+        if low < high:
+            forward = self._reach(b, self.after, lambda p: p <= high)
+            if a in forward:
+                return False
+            backward = self._reach(a, self.before, lambda p: p >= low)
+            moved = sorted(backward, key=self.at.__getitem__) + sorted(forward, key=self.at.__getitem__)
+            for node, place in zip(moved, sorted(self.at[x] for x in moved), strict=True):
+                self.at[node] = place
+        self.after[a].append(b)
+        self.before[b].append(a)
+        return a != b
+
+
+def order(starts: list[float | None], cues: list[int] | None = None, numbers: list[int | None] | None = None) -> list[int]:
+    """Order of segments, given in file order, under their precedence edges.
+
+    ``starts``: start times (None: unknown). ``cues``: the cue of each segment, rising; by default each is its own.
+    ``numbers``: cue numbers. Nodes beyond the segments stand between the distinct start times, so that
+    the time edges are linear in number.
     """
     n = len(starts)
-    timed = sorted((i for i in range(n) if starts[i] is not None), key=lambda i: (starts[i], i))
-    rank = {i: r for r, i in enumerate(timed)}
-    edges: dict[int, list[int]] = {i: [] for i in range(n)}
-    waiting = [0] * n
-
-    def add(a: int, b: int) -> None:
-        edges[a].append(b)
-        waiting[b] += 1
-
-    for a, b in zip(timed, timed[1:]):
-        add(a, b)
-    place: list[tuple[int, int]] = [(0, 0)] * n  # (rank of the last timed segment before, file place)
-    last = -1
-    for i in range(n):
-        if i in rank:
-            last = rank[i]
-        place[i] = (last, i)
-        if i and (starts[i] is None or starts[i - 1] is None):
-            before, after = place[i - 1], (rank[i], i) if i in rank else place[i]
-            if after[0] >= before[0]:  # otherwise the time of i contradicts the file
-                add(i - 1, i)
-    ready = [(place[i], i) for i in range(n) if not waiting[i]]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        _, i = heapq.heappop(ready)
-        out.append(i)
-        for j in edges[i]:
-            waiting[j] -= 1
-            if not waiting[j]:
-                heapq.heappush(ready, (place[j], j))
-    return out
+    cues = list(range(n)) if cues is None else cues
+    numbers = [None] * n if numbers is None else numbers
+    heads = [i for i in range(n) if not i or cues[i] != cues[i - 1]]
+    ends = [j - 1 for j in (*heads[1:], n)] if heads else []
+    edges = [(DIALOGUE, i - 1, i) for i in range(1, n) if cues[i] == cues[i - 1]]
+    times = sorted({t for t in starts if t is not None})
+    rank = {t: k for k, t in enumerate(times)}
+    for i, t in enumerate(starts):
+        if t is not None:
+            edges += [(TIME, n + rank[t] - 1, i)] * (rank[t] > 0) + [(TIME, i, n + rank[t])] * (rank[t] + 1 < len(times))
+    counted = sorted((numbers[a], a, b) for a, b in zip(heads, ends, strict=True) if numbers[a] is not None)
+    edges += [(NUMBER, b, c) for (x, _, b), (y, c, _) in zip(counted, counted[1:]) if x < y]
+    edges += [(FILE, b, a) for b, a in zip(ends, heads[1:])]
+    graph = Order(n + max(0, len(times) - 1))
+    last, place = (0, 0), []  # initial order: by the last time stated before a segment, then the file
+    for i, t in enumerate(starts):
+        last = (2 * rank[t], 0) if t is not None else last
+        place.append((*last, i))
+    place += [(2 * k + 1, 0, 0) for k in range(max(0, len(times) - 1))]
+    for at, node in enumerate(sorted(range(len(place)), key=place.__getitem__)):
+        graph.at[node] = at
+    for _, a, b in sorted(edges, key=lambda e: -e[0]):
+        graph.add(a, b)
+    return sorted(range(n), key=graph.at.__getitem__)
 
 
 def turns_of(content: str | None, mime: str | None, url: str | None, speakers: list[tuple[int, str | None, str | None]]) -> list[tuple[int, float | None, str]]:
@@ -264,19 +325,17 @@ def turns_of(content: str | None, mime: str | None, url: str | None, speakers: l
     else:
         raw = _cue_segments(content)
     segments, seen = [], set()
-    for start, label, text in raw:
-        who = people.find(label)
-        if who is None:
-            who, text = _split_label(text.strip(), people)
-        key = (start, who, " ".join(text.split()))
+    for cue, (start, label, text, number) in enumerate(raw):
+        who, key = people.find(label), (start, label, " ".join(text.split()))
         if start is not None and key in seen:
             continue
         seen.add(key)
-        segments.append((start, who, text))
+        lines = [(who, text)] if who is not None else _lines(text, people)
+        segments += [(start, speaker, line, cue, number) for speaker, line in lines]
     speaker = speakers[0][0] if len(speakers) == 1 else None
     out: list[list] = []
-    for i in order([s[0] for s in segments]):
-        start, who, text = segments[i]
+    for i in order(*([s[k] for s in segments] for k in (0, 3, 4))):
+        start, who, text = segments[i][:3]
         speaker = who if who is not None else speaker
         text = clean(text)
         if speaker is None or not _WORD.search(text):

@@ -1,4 +1,5 @@
 import json
+import random
 
 from audiolake.llm import turns as T
 
@@ -47,6 +48,46 @@ def test_order_drops_contradicting_file_edges():
     assert T.order([]) == []
 
 
+def test_several_speakers_in_one_cue():
+    content = "1\n00:00:01,000 --> 00:00:02,000\n- Ana Lopes: one\ngoes on\n- JO: two\n\n2\n00:00:03,000 --> 00:00:04,000\nstill Jo\n\n3\n00:00:05,000 --> 00:00:06,000\n- Kim: three\n- Jo: (laughs)\n\n4\n00:00:07,000 --> 00:00:08,000\nfour"
+    assert who(content, "application/srt") == [(1, "one goes on"), (2, "two still Jo"), (3, "three"), (2, "four")]
+    assert who("WEBVTT\n\nc0\n00:01.000 --> 00:02.000\n<v Ana>Mm, one.</v>\n<v JO>two</v> <v Kim Weller>three</v>") == [(1, "one."), (2, "two"), (3, "three")]
+
+
+def test_order_of_conflicting_edges():
+    assert T.order([1.0, 1.0, 1.0], numbers=[3, 1, 2]) == [1, 2, 0]  # numbers before the file
+    assert T.order([2.0, 1.0], numbers=[1, 2]) == [1, 0]  # times before numbers
+    assert T.order([None, None, None], numbers=[2, None, 1]) == [2, 0, 1]  # an edge of the file is dropped
+    assert T.order([5.0, 5.0, 5.0, 1.0], cues=[0, 0, 1, 2], numbers=[9, 9, 4, 1]) == [3, 2, 0, 1]  # lines of a cue stay together
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 12)
+        starts = [rng.choice([None, *range(5)]) for _ in range(n)]
+        got = T.order(starts, numbers=[rng.choice([None, *range(6)]) for _ in range(n)])
+        timed = [starts[i] for i in got if starts[i] is not None]
+        assert sorted(got) == list(range(n)) and timed == sorted(timed)
+
+
+def test_refused_edges_are_those_of_cycles():
+    rng = random.Random(8)
+    for _ in range(200):
+        n, kept = rng.randrange(2, 9), []
+        graph = T.Order(n)
+        for _ in range(20):
+            a, b = rng.randrange(n), rng.randrange(n)
+            reach, todo = {b}, [b]
+            while todo:
+                x = todo.pop()
+                for p, q in kept:
+                    if p == x and q not in reach:
+                        reach.add(q)
+                        todo.append(q)
+            if a != b:
+                assert graph.add(a, b) == (a not in reach)
+                kept += [(a, b)] * (a not in reach)
+        assert all(graph.at[p] < graph.at[q] for p, q in kept) and sorted(graph.at) == list(range(n))
+
+
 def test_long_file(spark):
     content = "\n".join(f"{'Ana Lopes' if i % 2 else 'Jo Brandt'}: words {i}" for i in range(20_000))
     files = spark.createDataFrame([(1, None, None, content, "x"), (2, None, None, None, "x"), (3, None, None, "Ana: a", "x"), (3, None, None, "Ana: a", "x")], "id long, mime_type string, source_url string, content string, text string")
