@@ -1,5 +1,7 @@
 """Vectors, consensus and mixing."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -50,13 +52,22 @@ def test_hot_vector_and_ties(spark):
     assert sorted(r.neighbour_id for r in got.filter("episode_id = 1").collect()) == [0, 2, 3]
 
 
-def test_hot_bucket_is_divided(spark):
-    rng = np.random.default_rng(2)
-    base = rng.standard_normal(64)
-    x = base + rng.standard_normal((300, 64)) * 0.02
-    df = spark.createDataFrame([(i, "m", [float(v) for v in r]) for i, r in enumerate(x)], "episode_id long, model string, embedding array<float>")
-    got = knn.nearest(df, k=5, bucket_limit=20)
-    assert got.select("episode_id").distinct().count() > 280
+def test_recall_on_other_vectors_by_band(spark):
+    """Pairs of stated cosines, drawn apart from all data, hot buckets divided or not."""
+    rng = np.random.default_rng(77)
+    x = rng.standard_normal((600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((600, 64))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = np.repeat([0.901, 0.91, 0.919, 0.93, 0.949, 0.97], 100)[:, None]
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z])
+    df = spark.createDataFrame([(i, "m", [float(v) for v in r]) for i, r in enumerate(both)], "episode_id long, model string, embedding array<float>")
+    found = lambda limit: {(r.episode_id, r.neighbour_id) for r in knn.nearest(df, bucket_limit=limit).collect()}
+    whole, divided = found(2000), found(20)
+    share = lambda low, high: np.mean([(i, i + 600) in whole for i in range(600) if low <= c[i, 0] < high])
+    assert whole == divided and share(0.9, 0.92) >= 0.9 and share(0.92, 0.95) >= 0.95 and share(0.95, 1) >= 0.98
+    assert knn.expected_recall(0.9, 6, 12, 2.0, 3) >= 0.9
 
 
 def test_hot_bucket_keeps_its_pairs(spark):
@@ -73,9 +84,16 @@ def test_hot_bucket_keeps_its_pairs(spark):
     assert divided == whole <= want and len(divided) / len(want) >= 0.9
 
 
-def test_probe_order_is_by_cost():
-    sets = knn._probe_sets(4, 6)
-    assert sets[0] == (0,) and len(set(sets)) == 6 and all(7 - j not in s for s in sets for j in s)
+def test_probes_are_the_cheapest_of_each_vector():
+    rng = np.random.default_rng(3)
+    for m, probes in ((2, 5), (3, 1), (3, 4), (3, 14), (4, 8)):
+        frac = rng.random((40, m))
+        frac[0] = 0.5  # both sides of every function are equally near
+        got = knn._probe_keys(np.zeros((40, m), np.int32), frac, probes)
+        for i in range(1, 40):
+            moves = [o for o in itertools.product((-1, 0, 1), repeat=m) if any(o)]
+            cost = {o: sum(frac[i, j] ** 2 if v < 0 else (1 - frac[i, j]) ** 2 for j, v in enumerate(o) if v) for o in moves}
+            assert [tuple(int(v) for v in k[i]) for k in got] == sorted(moves, key=cost.get)[:probes]
 
 
 def judgments(spark):
