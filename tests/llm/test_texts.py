@@ -156,6 +156,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.pairs(df.limit(0), "id", "title", "description").count() == 0
 
 
+def test_shared_lines_in_ten_thousand_records(spark):
+    """Every signature of the shared lines is in thousands of records; small blocks find the same pairs."""
+    rng = random.Random(6)
+    lines = [" ".join(f"line{k}w{i}" for i in range(14)) for k in range(2)]
+    data = [f"{lines[i % 2]} " + " ".join(f"r{rng.randrange(4000)}" for _ in range(rng.randrange(8, 13))) for i in range(9_600)]
+    for i in range(400):
+        w = rng.choice(data[:9_600]).split()
+        w[rng.randrange(14, len(w))] = f"edited{i}"
+        data.append(" ".join(w))
+    sets = [shingle_set("", t) for t in data]
+    where = {}
+    for i, x in enumerate(sets):
+        for g in x:
+            if not g[1].startswith("line"):
+                where.setdefault(g, []).append(i)
+    tried = {(i, j) for ids in where.values() for i in ids for j in ids if i < j}
+    # the 13 shingles of a line alone are too few, since every set has 21 or more
+    want = {(i, j) for i, j in tried if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, "", t) for i, t in enumerate(data)], "id long, title string, description string")
+    for crowd in (300, 10**9):
+        links, members = neardup.links(df, "id", "title", "description", crowd=crowd)
+        of = {r.class_id: r.id for r in members.collect()}
+        got = {(min(p), max(p)) for r in links.collect() for p in [(of[r.a], of[r.b])]}
+        assert got == want and len(want) > 300
+
+
 def test_bitmaps_never_exclude():
     rng = np.random.default_rng(1)
     for _ in range(50):
