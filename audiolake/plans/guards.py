@@ -10,6 +10,8 @@ def above(condition: Column) -> Column:
     """``condition``, kept above the projections below it.
 
     A filter on a long computed expression is otherwise pushed through its projections, which repeats
-    the expression once per use and outgrows generated code. A condition with ``rand`` is not moved.
+    the expression once per use and outgrows generated code, or through an exchange that several readers share. A
+    condition with a nondeterministic part is not moved. (Comparisons with ``rand`` are folded to constants, and a
+    conditional is taken apart to a conjunction whose parts are moved one by one.)
     """
-    return F.when(F.rand(0) >= 0, condition)
+    return (F.monotonically_increasing_id() >= 0) == condition
