@@ -35,6 +35,8 @@ from audiolake.plans.guards import above
 from audiolake.session import store
 
 DIM = 64
+#: Signs of random projections by which candidates are sifted before their vectors are compared.
+SIGNS = 128
 
 
 def valid_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
@@ -152,9 +154,9 @@ def expected_recall(cosine: float, tables: int, functions: int, width: float, pr
 
 
 def _sketch(x: np.ndarray, seed: int) -> np.ndarray:
-    """64 signs of random projections as one integer."""
-    a = np.random.default_rng(seed + 1).standard_normal((x.shape[1], 64)).astype(np.float32)
-    return np.packbits(x @ a > 0, axis=1).view(np.int64).ravel()
+    """Signs of ``SIGNS`` random projections as two integers a row."""
+    a = np.random.default_rng(seed + 1).standard_normal((x.shape[1], SIGNS)).astype(np.float32)
+    return np.packbits(x @ a > 0, axis=1).view(np.int64)
 
 
 def _hot(stored: DataFrame, limit: int) -> DataFrame:
@@ -176,19 +178,23 @@ def candidate_pairs(classes: DataFrame, tables: int, functions: int, width: floa
                 part = batch.slice(at, 2000)
                 x, own = _unit(part), part.column("class_id").to_numpy()
                 row, key, probe = bucket_rows(x, tables, functions, width, probes if everything else 0, seed, part.column("salt").to_numpy())
-                key &= ~255  # seven bytes tell buckets apart; the zero byte compresses
-                columns = [pa.array(key), pa.array(own[row]), pa.array(_sketch(x, seed)[row]), pa.array(probe)] if everything else [pa.array(key)]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "class_id", "sketch", "probe"][: len(columns)])
+                key &= (1 << 40) - 1  # five bytes tell buckets apart; zero bytes compress
+                signs = _sketch(x, seed)[row]
+                columns = [pa.array(key), pa.array(own[row]), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(probe)] if everything else [pa.array(key)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "class_id", "x", "y", "probe"][: len(columns)])
 
     hot = _hot(classes.mapInArrow(lambda b: entries(b, False), "bucket long"), bucket_limit)
-    rows = classes.mapInArrow(entries, "bucket long, class_id long, sketch long, probe boolean").join(hot, "bucket", "left")
+    rows = classes.mapInArrow(entries, "bucket long, class_id long, x long, y long, probe boolean").join(hot, "bucket", "left")
     blocks = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rows = rows.select("*", F.explode(blocks).alias("block"))
     cell = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "block"))
     own = F.col("blocks").isNull() | (F.pmod(F.xxhash64("class_id"), F.col("blocks")) == F.col("block"))
-    rows = rows.select(cell.alias("cell"), "class_id", "sketch", (~F.col("probe") & own).alias("stored")).repartition("cell")
-    s, p = rows.filter(above(F.col("stored"))).alias("s"), rows.alias("p")
-    near = F.bit_count(F.col("s.sketch").bitwiseXOR(F.col("p.sketch"))) <= most_bits
+    rows = rows.select(cell.alias("cell"), "class_id", "x", "y", (~F.col("probe") & own).alias("stored"))
+    # the filter that the join would add below one side's exchange; with it on both sides the exchange is shared
+    rows = rows.filter(F.col("stored").isNotNull()).repartition("cell")
+    s, p = rows.filter(above(F.col("stored"))).alias("s"), rows.filter(above(F.col("stored").isNotNull())).alias("p")
+    differ = lambda c: F.bit_count(F.col(f"s.{c}").bitwiseXOR(F.col(f"p.{c}")))
+    near = differ("x") + differ("y") <= most_bits
     met = s.join(p, (F.col("s.cell") == F.col("p.cell")) & (F.col("s.class_id") != F.col("p.class_id")) & near)
     return met.select(F.least("s.class_id", "p.class_id").alias("a"), F.greatest("s.class_id", "p.class_id").alias("b")).distinct()
 
@@ -197,13 +203,15 @@ def nearest(df: DataFrame, k: int = 10, least_cosine: float = 0.9, tables: int =
     """The ``k`` most similar episodes of every episode: (model, episode_id, neighbour_id, similarity, rank).
 
     Neighbours below ``least_cosine`` are not returned; the hash parameters are made for that bound, and
-    so is the limit on differing signs (4.5 standard deviations above the mean at the bound, which at the
-    bound itself leaves out three pairs in a million).
+    so is the limit on differing signs (three standard deviations above the mean at the bound, where it
+    leaves out one pair in a thousand; fewer above).
     """
     angle = float(np.arccos(least_cosine) / np.pi)
-    most_bits = int(np.ceil(64 * angle + 4.5 * np.sqrt(64 * angle * (1 - angle))))
+    most_bits = int(np.ceil(SIGNS * angle + 3 * np.sqrt(SIGNS * angle * (1 - angle))))
     vectors = valid_vectors(df)
-    classes = vectors.groupBy("class_id").agg(F.first("embedding").alias("embedding"), F.first(F.xxhash64("model")).alias("salt"))
+    # one value for both fields, so that all readers share one exchange of the vectors
+    classes = vectors.groupBy("class_id").agg(F.first(F.struct("embedding", F.xxhash64("model").alias("salt"))).alias("c"))
+    classes = classes.filter(above(F.col("c").isNotNull())).select("class_id", "c.embedding", "c.salt")
     pairs = candidate_pairs(classes, tables, functions, width, probes, most_bits, bucket_limit, seed)
     members = vectors.select("class_id", "model", "episode_id").distinct()
     scored = (
