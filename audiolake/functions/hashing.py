@@ -22,6 +22,22 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def rfc3339(at: Column) -> Column:
+    """UTC text of an instant to the second, ``Z`` at the end; '' for NULL."""
+    return F.coalesce(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+
+
+def item_hash(title: Column, description: Column, seconds: Column, published: Column, explicit: Column, url: Column) -> Column:
+    """Digest of an item's searchable fields, in this order."""
+    yes = F.when(F.coalesce(explicit, F.lit(False)), "true").otherwise("false")
+    return content_hash(title, description, seconds.cast("bigint"), rfc3339(published), yes, url)
+
+
+def excerpt_hash(text: Column, n: int) -> Column:
+    """First 32 digits of the digest of the first ``n`` characters."""
+    return F.substring(F.sha2(F.left(F.coalesce(text, F.lit("")), F.lit(n)), 256), 1, 32)
+
+
 def shard(text: Column, n: int) -> Column:
     """Remainder of the whole 256-bit digest by ``n``, folded four hex digits at a time."""
     digits = F.sha2(text, 256)

@@ -22,9 +22,16 @@ def age_days(at: Column, now: datetime) -> Column:
     return F.greatest(F.lit(0.0), (F.unix_micros(F.lit(now)) - F.unix_micros(at)) / 86_400_000_000.0)
 
 
+# Hours to the next poll by the age in days below which they hold, for older ages, and where it is unknown.
+POLL_LADDER, POLL_OLD, POLL_UNKNOWN = ((1, 1), (3, 3), (7, 6), (30, 12)), 24, 6
+
+
 def poll_hours(age: Column) -> Column:
-    """Hours to the next poll from the age in days of the newest item; 6 where unknown."""
-    return F.when(age.isNull(), 6).when(age <= 2, 1).when(age <= 7, 3).when(age <= 30, 6).when(age <= 90, 12).otherwise(24)
+    """Hours to the next poll from the age in days of the newest item."""
+    ladder = F.when(age.isNull(), POLL_UNKNOWN)
+    for below, hours in POLL_LADDER:
+        ladder = ladder.when(age < below, hours)
+    return ladder.otherwise(POLL_OLD)
 
 
 def backoff(attempt: Column, base: float, cap: float) -> Column:

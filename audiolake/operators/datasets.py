@@ -1,8 +1,8 @@
 """Training datasets: deterministic generators, seeded negatives, contracts, time split, versions.
 
 Every choice is an order by digest of (seed, kind, key), so a build is the same on every cluster and does not
-need a random generator's state. Negatives come from a bounded ring of candidates: a row takes the
-candidates that follow its own digest, so no pair of example and catalogue is formed.
+need a random generator's state. Negatives are places of a ring of all candidates, which an example's own digest
+gives, so no pair of example and catalogue is formed.
 """
 
 from __future__ import annotations
@@ -32,21 +32,44 @@ def first_by_digest(df: DataFrame, group: list[str], key: str, k: int, seed: int
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
-def negatives(examples: DataFrame, candidates: DataFrame, n: int, seed: int, buckets: int = 64, extra: int = 6) -> DataFrame:
-    """(example_id, negative_id, place): ``n`` seeded negatives of each example, from other shows, without repeats.
+def negatives(examples: DataFrame, candidates: DataFrame, n: int, seed: int) -> DataFrame:
+    """(example_id, negative_id, place): ``n`` seeded negatives of each example from the whole catalogue, without repeats.
 
-    examples: example_id, positive_id, show. candidates: id, show. Candidates are dealt by digest into buckets of at most
-    n + extra each; an example looks into the bucket of its own digest and the next one.
+    examples: example_id, positive_id. candidates: id. The candidates stand in a ring in the order of their digest,
+    numbered without gaps; an example's draws are places of the ring given by its own digest, one more than ``n``
+    in strides that never meet, so that one of them may be the positive. Every candidate is as likely, an example's draws do
+    not depend on other examples, and only numbered places are joined, never pairs of example and catalogue. With ``n``
+    candidates or fewer an example gets all but its positive.
     """
-    place = lambda kind, key: F.conv(F.substring(order_key(seed, kind, key), 1, F.lit(8)), 16, 10).cast("bigint") % buckets
-    dealt = candidates.select("id", "show", place("deal", F.col("id")).alias("b"))
-    dealt = first_by_digest(dealt, ["b"], "id", n + extra, seed, "pool").select(F.col("id").alias("negative_id"), F.col("show").alias("other"), "b")
-    asks = examples.select("example_id", "positive_id", "show", F.explode(F.transform(F.array(F.lit(0), F.lit(1)), lambda s: (place("ask", F.col("example_id")) + s) % buckets)).alias("b"))
-    met = asks.join(dealt, "b").filter((F.col("negative_id") != F.col("positive_id")) & (F.col("show") != F.col("other")))
-    order = Window.partitionBy("example_id").orderBy(order_key(seed, "neg", F.concat_ws(":", "example_id", "negative_id")), "negative_id")
+    ring = numbered(candidates.select("id").distinct(), [order_key(seed, "ring", F.col("id")), F.col("id")], "at")
+    size = ring.count()
+    if not size:
+        return examples.sparkSession.createDataFrame([], "example_id string, negative_id long, place int")
+    draws = min(n + 1, size)
+    number = lambda kind: F.conv(F.substring(order_key(seed, kind, F.col("example_id")), 1, F.lit(13)), 16, 10).cast("bigint")
+    stride = F.lit(1) + number("stride") % F.lit(max(1, (size - 1) // max(1, draws - 1)))  # draws * stride stays within one turn
+    places = examples.select("example_id", "positive_id", number("neg").alias("s"), stride.alias("t")).select("example_id", "positive_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: (F.col("s") + k * F.col("t")) % size)).alias("k", "at"))
+    met = places.join(ring.withColumnRenamed("id", "negative_id"), "at").filter(F.col("negative_id") != F.col("positive_id"))
+    order = Window.partitionBy("example_id").orderBy("k")
     return met.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select("example_id", "negative_id", "place")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name``: 0, 1, 2, … in the order, by a distributed sort and the sizes of its partitions (one number each to the driver)."""
+    from audiolake.session import store
+
+    rows = store(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "ring")
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per partition
+    total, before = 0, []
+    for p in sorted(sizes):
+        before += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += sizes[p]
+    if not before:
+        return rows.withColumn(name, F.col("_m")).drop("_m")
+    return rows.withColumn(name, F.element_at(F.create_map(*before), part) + inside).drop("_m")
+
+
 def synthetic_queries(episodes: DataFrame, most: int, seed: int, language: str = "en") -> DataFrame:
     """(example_id, query_text, positive_id, show, event_time): titles as queries, the first ``most`` in digest order."""
     rows = eligible(episodes, language).withColumn("query_text", normalize(F.col("title"))).filter(F.length("query_text") >= 3)

@@ -1,7 +1,6 @@
-"""Retrieval over a batch of queries: filters, weighted full text, exact vectors, popularity, fusion, diversity.
+"""Retrieval over a batch of queries: filters, exact vectors, popularity, fusion, diversity, suggestions.
 
-Every operator takes all queries at once. Full text joins postings on the term, so the corpus is scanned once
-whatever the number of queries; vector search compares blocks with a matrix product inside each task and
+Every operator takes all queries at once; vector search compares blocks with a matrix product inside each task and
 lets only each task's best ``k`` leave it. All orders end with an id, so results are deterministic.
 
 Defined results: NULL text is empty text; queries without words match nothing; NULL durations and dates
@@ -10,7 +9,6 @@ fail an active filter; ties go to the later date, then the smaller id; repeated
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from audiolake.functions import text
 from audiolake.functions.numbers import usable_vector
 
 #: Weights of the fields of an indexed record.
@@ -37,115 +34,67 @@ def passes(language: Column, wanted: Column, seconds: Column, most: Column, publ
     return ok
 
 
-def postings(df: DataFrame, key: str, fields: dict[str, str], cap: int | None = None) -> DataFrame:
-    """(key, term, weight, position): one row per word of the fields (name -> weight letter), NULL fields skipped."""
-    parts = [F.struct(text.words(F.col(f) if cap is None else F.left(F.col(f), F.lit(cap))).alias("w"), F.lit(WEIGHTS[k]).alias("weight")) for f, k in fields.items()]
-    rows = df.select(key, F.explode(F.array(*parts)).alias("p"))
-    return rows.select(key, F.posexplode("p.w").alias("position", "term"), F.col("p.weight").alias("weight"))
-
-
-def term_score(weights: Column) -> Column:
-    """Sum of w_i / i**2 over weights in falling order, scaled by 6 / pi**2."""
-    ordered = F.sort_array(weights, asc=False)
-    return F.aggregate(F.transform(ordered, lambda w, i: w / ((i + 1) * (i + 1))), F.lit(0.0), lambda s, x: s + x) * (6 / math.pi**2)
-
-
-def match(index: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of the records that hold every word of a query.
-
-    ``queries``: query_id, query_text, where words in double quotes must follow each other is not needed: AND only.
-    """
-    terms = queries.select("query_id", F.array_distinct(text.words(F.col("query_text"))).alias("t")).withColumn("need", F.size("t")).select("query_id", "need", F.explode("t").alias("term")).distinct()
-    per = index.join(terms, "term").groupBy("query_id", key, "term").agg(F.collect_list("weight").alias("w"), F.first("need").alias("need"))
-    scored = per.select("query_id", key, "need", term_score(F.col("w")).alias("s"))
-    return scored.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"), F.first("need").alias("need")).filter(F.col("n") == F.col("need")).select("query_id", key, (F.col("s") / F.col("need")).alias("score"))
-
-
-def parsed_match(index: DataFrame, key: str, queries: list[tuple[str, str]]) -> DataFrame:
-    """As :func:`match` for web-search syntax: words, "phrases", ``or`` between words and ``-excluded`` words.
-
-    The few query texts are parsed on the driver to rows (query_id, clause, term, step); a clause holds alternatives,
-    a phrase is a run of steps.
-    """
-    spark = index.sparkSession
-    rows = []
-    for qid, raw in queries:
-        clause, joined = 0, False
-        for i, chunk in enumerate(raw.split('"')):
-            if i % 2:
-                parts = [p for p in _plain(chunk).split() if p]
-                rows += [(qid, clause, "phrase", t, step, len(parts)) for step, t in enumerate(parts)]
-                clause += bool(parts)
-                continue
-            for word in chunk.split():
-                if word.lower() == "or" and clause:
-                    joined = True
-                    continue
-                kind = "not" if word.startswith("-") else "word"
-                for t in _plain(word).split():
-                    if joined and kind == "word":
-                        clause -= 1
-                    rows.append((qid, clause, kind, t, 0, 1))
-                    clause, joined = clause + 1, False
-    plan = spark.createDataFrame(rows or [("", 0, "word", "", 0, 1)], "query_id string, clause int, kind string, term string, step int, steps int")
-    hits = index.join(F.broadcast(plan), "term")  # bounded by the queries given as a driver list
-    spans = hits.groupBy("query_id", "clause", "kind", "steps", key, (F.col("position") - F.col("step")).alias("at"), "weight").agg(F.count_distinct("step").alias("got")).filter(F.col("got") == F.col("steps"))
-    clauses = spans.groupBy("query_id", "clause", "kind", key).agg(term_score(F.collect_list("weight")).alias("s"))
-    need = plan.filter("kind <> 'not'").groupBy("query_id").agg(F.count_distinct("clause").alias("need"))
-    good = clauses.filter("kind <> 'not'").groupBy("query_id", key).agg(F.count_distinct("clause").alias("n"), F.sum("s").alias("s")).join(need, "query_id").filter("n = need")
-    bad = clauses.filter("kind = 'not'").select("query_id", key)
-    return good.join(bad, ["query_id", key], "left_anti").select("query_id", key, (F.col("s") / F.col("need")).alias("score"))
-
-
-def _plain(word: str) -> str:
-    return "".join(c if c.isascii() and c.isalnum() else " " for c in word.lower())
-
-
 def top(df: DataFrame, group: str | Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each group, numbered from 1 (planned as a group limit before the shuffle)."""
     group = [group] if isinstance(group, str) else list(group)
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(name) <= k)
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, k: int, dim: int, per_block: int = 4096) -> DataFrame:
+def vector_top(corpus: DataFrame, queries: DataFrame, k: int, dim: int, per_block: int = 4096, filtered: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank): exact cosine top-k. ``corpus``: id, embedding. ``queries``: query_id, embedding.
 
     The stated queries are dealt to blocks of about ``per_block``, the corpus to parts; the queries of a block meet each part
     in one task, which reads the part in batches and lets only its best ``k`` per query leave. One query block
-    reads the corpus once; nothing passes through the driver but the number of queries.
+    reads the corpus once; nothing passes through the driver but the number of queries. ``filtered``: only records that pass
+    the query's filters count; the corpus then has language and duration_seconds, the queries filter_language and filter_max_seconds.
     """
-    own = corpus.filter(usable_vector(F.col("embedding"), dim)).select("id", "embedding").dropDuplicates(["id"])
-    asked = queries.filter(usable_vector(F.col("embedding"), dim)).select("query_id", "embedding").dropDuplicates(["query_id"])
+    kept = [F.lower(F.coalesce("language", F.lit(""))).alias("language"), F.coalesce("duration_seconds", F.lit(-1)).cast("long").alias("seconds")] if filtered else []
+    wish = [F.lower(F.coalesce("filter_language", F.lit(""))).alias("language"), F.coalesce("filter_max_seconds", F.lit(0)).cast("long").alias("seconds")] if filtered else []
+    extra = ["language", "seconds"] if filtered else []
+    own = corpus.filter(usable_vector(F.col("embedding"), dim)).select("id", "embedding", *kept).dropDuplicates(["id"])
+    asked = queries.filter(usable_vector(F.col("embedding"), dim)).select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), *wish).dropDuplicates(["query_id"])
+    names = asked.select("query_id").dtypes[0][1]
+    if names != "bigint":  # the scan numbers queries
+        numbered = asked.withColumn("number", F.xxhash64("query_id"))
+        found = vector_top(corpus, numbered.withColumn("query_id", F.col("number")).withColumnsRenamed({"language": "filter_language", "seconds": "filter_max_seconds"}), k, dim, per_block, filtered)
+        back = numbered.select(F.col("number").alias("query_id"), F.col("query_id").alias("name"))
+        return found.join(back, "query_id").drop("query_id").withColumnRenamed("name", "query_id")
     parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-asked.count() // per_block))
     deal = lambda c, n: F.pmod(F.hash(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = own.select(every(blocks).alias("block"), deal("id", parts).alias("part"), F.lit(False).alias("asks"), "id", "embedding")
-    asking = asked.select(deal("query_id", blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding")
-    rows = stored.unionByName(asking).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
+    stored = own.select(every(blocks).alias("block"), deal("id", parts).alias("part"), F.lit(False).alias("asks"), "id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), *extra)
+    asking = asked.select(deal("query_id", blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding", *extra)
+    cells = 4 * parts if blocks == 1 else 4 * parts * blocks
+    rows = stored.unionByName(asking).repartition(cells, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
     found = rows.mapInPandas(lambda batches: _scan_blocks(batches, k), "query_id long, id long, similarity double")
     return top(found, "query_id", [F.desc(F.round("similarity", 9)), F.asc("id")], k)
 
 
 def _scan_blocks(batches, k: int):
     """Best ``k`` of each (block, part), whose queries come first."""
-    key, ids, matrix, best = None, None, None, []
+    key, ids, matrix, best, wish = None, None, None, [], None
     for pdf in batches:
         for group, part in pdf.groupby(["block", "part"], sort=False):
             if group != key:
                 yield from _emit(ids, best)
-                key, ids, matrix, best = group, np.empty(0, np.int64), None, []
+                key, ids, matrix, best, wish = group, np.empty(0, np.int64), None, [], None
             x = np.stack(part["embedding"].to_list()).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             asks = part["asks"].to_numpy()
             if asks.any():
                 ids = np.concatenate([ids, part["id"].to_numpy()[asks]])
                 matrix = x[asks] if matrix is None else np.concatenate([matrix, x[asks]])
+                if "language" in part:
+                    wish = pd.concat([wish, part.loc[asks, ["language", "seconds"]]], ignore_index=True)
             if matrix is None or asks.all():
                 continue
             own, x = part["id"].to_numpy()[~asks], x[~asks]
+            out = _excluded(wish, part[~asks]) if wish is not None else None
             for at in range(0, len(own), 1024):
                 s = np.round(matrix @ x[at : at + 1024].T, 9)
+                if out is not None:
+                    s[out[:, at : at + 1024]] = -9.0
                 i = np.broadcast_to(own[at : at + 1024], s.shape)
                 if best:
                     i, s = np.concatenate([best[0], i], axis=1), np.concatenate([best[1], s], axis=1)
@@ -154,9 +103,21 @@ def _scan_blocks(batches, k: int):
     yield from _emit(ids, best)
 
 
+def _excluded(wish: pd.DataFrame, part: pd.DataFrame) -> np.ndarray:
+    """Which records each query's filters exclude; a row per query. Equal filters are looked at once."""
+    out = np.zeros((len(wish), len(part)), bool)
+    for (language, seconds), rows in wish.groupby(["language", "seconds"]).groups.items():
+        if language:
+            out[rows] |= ~part["language"].str.startswith(language).to_numpy(bool)
+        if seconds > 0:
+            out[rows] |= ~part["seconds"].between(0, seconds).to_numpy()
+    return out
+
+
 def _emit(ids, best):
     if best:
-        yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1]), "id": best[0].ravel(), "similarity": best[1].ravel()})
+        keep = best[1].ravel() > -2
+        yield pd.DataFrame({"query_id": np.repeat(ids, best[0].shape[1])[keep], "id": best[0].ravel()[keep], "similarity": best[1].ravel()[keep]})
 
 
 def popular(df: DataFrame, k: int, group: Sequence[str] = ()) -> DataFrame:

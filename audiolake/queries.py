@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,14 @@ from pyspark.sql.window import Window
 
 from audiolake.functions import hashing, numbers, text
 from audiolake.plans.guards import above
-from audiolake.operators import catalog, datasets, metrics, monitoring, ranking, retrieval, speech, timestamps, understand
+from audiolake.operators import catalog, datasets, metrics, monitoring, retrieval, speech, timestamps, understand
+from audiolake.registry import hex_number as _hex
+from audiolake.registry import norm as _norm
+from audiolake.registry import query
+from audiolake.search_queries import LEXICAL as _LEXICAL
+from audiolake.search_queries import TWO_LEGS as _LEGS
+from audiolake.search_queries import lexical_run as _lexical
+from audiolake.search_queries import two_legs as _legs
 from audiolake.session import read_table
 from audiolake.sources import files
 from audiolake.streaming import events as streams
@@ -23,51 +29,6 @@ CANDIDATE_ZONES = [
     "Asia/Tokyo", "Australia/Sydney", "Europe/Berlin", "Europe/Lisbon", "Europe/London", "UTC",
 ]
 NOW = datetime(2026, 10, 1)
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = re.sub(r"(?<!')\bshow\b(?!')", '"show"', sql)  # a reserved word there
-        return f
-
-    return add
-
-
-# --- SQL parts -------------------------------------------------------------------------------------------------
-
-
-def _norm(c: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({c}, '')), '[^0-9a-z]+', ' ', 'g'))"
-
-
-def _words(c: str) -> str:
-    return f"list_filter(string_split({_norm(c)}, ' '), lambda x: x <> '')"
-
-
-def _hex(c: str, start: int, n: int) -> str:
-    return f"CAST('0x' || substr({c}, {start}, {n}) AS BIGINT)"
-
-
-_POSTINGS = f"""
-terms AS (SELECT query_id, need, unnest(t) AS term FROM (SELECT query_id, list_distinct({_words('query_text')}) AS t, len(list_distinct({_words('query_text')})) AS need FROM relevance_queries)),
-posts AS (SELECT id, unnest({_words('title')}) AS term, 1.0::DOUBLE AS weight FROM episodes UNION ALL SELECT id, unnest({_words('description')}), 0.4::DOUBLE FROM episodes),
-hits AS (SELECT query_id, need, id, p.term, weight, row_number() OVER (PARTITION BY query_id, id, p.term ORDER BY weight DESC) AS i FROM posts p JOIN terms t ON p.term = t.term),
-scored AS (SELECT query_id, id, sum(s) / any_value(need) AS score FROM (SELECT query_id, id, term, any_value(need) AS need, sum(weight / (i * i)) * (6 / (pi() * pi())) AS s FROM hits GROUP BY 1, 2, 3)
-  GROUP BY 1, 2 HAVING count(*) = any_value(need))"""
-
-_LEXICAL = f"""{_POSTINGS},
-lexical AS (SELECT query_id, id AS episode_id, round(score, 6) AS score, rank FROM (
-  SELECT s.query_id, e.id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY round(s.score, 9) DESC, e.published_at DESC NULLS LAST, e.id) AS rank
-  FROM scored s JOIN episodes e ON e.id = s.id JOIN relevance_queries q ON q.query_id = s.query_id
-  WHERE (coalesce(q.filter_language, '') = '' OR coalesce(starts_with(lower(e.language), lower(q.filter_language)), false))
-    AND (coalesce(q.filter_max_seconds, 0) <= 0 OR coalesce(e.duration_seconds <= q.filter_max_seconds, false))) WHERE rank <= 100)"""
-
 _QRELS = """qrels AS (SELECT query_id, episode_id, CAST(arg_max(grade, {'a': CASE WHEN starts_with(lower(trim(judge)), 'llm:') THEN 0 ELSE 1 END, 'b': coalesce(judged_at, ''), 'c': grade}) AS INTEGER) AS grade
   FROM judgments WHERE grade BETWEEN 0 AND 3 GROUP BY 1, 2)"""
 
@@ -96,39 +57,6 @@ def p6_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
 # --- retrieval -------------------------------------------------------------------------------------------------
 
 
-def _lexical(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
-    e, q = read_table(spark, d, "episodes"), read_table(spark, d, "relevance_queries")
-    hits = retrieval.match(retrieval.postings(e, "id", {"title": "A", "description": "B"}), "id", q)
-    rows = hits.join(e.select("id", "language", "duration_seconds", "published_at"), "id").join(q.select("query_id", "filter_language", "filter_max_seconds"), "query_id")
-    rows = rows.filter(retrieval.passes(F.col("language"), F.col("filter_language"), F.col("duration_seconds"), F.col("filter_max_seconds")))
-    best = retrieval.top(rows, "query_id", [F.desc(F.round("score", 9)), F.desc_nulls_last("published_at"), F.asc("id")], k)
-    return best.select("query_id", F.col("id").alias("episode_id"), F.round("score", 6).alias("score"), "rank")
-
-
-@query(f"WITH {_LEXICAL} SELECT * FROM lexical WHERE rank <= 20")
-def lexical_topk(spark, d):
-    return _lexical(spark, d, 20)
-
-
-@query(f"""WITH {_LEXICAL},
-pw AS (SELECT id, unnest({_words('title')}) AS term, 1.0::DOUBLE AS weight FROM podcasts UNION ALL SELECT id, unnest({_words('publisher')}), 0.4::DOUBLE FROM podcasts),
-ph AS (SELECT query_id, need, id, p.term, weight, row_number() OVER (PARTITION BY query_id, id, p.term ORDER BY weight DESC) AS i FROM pw p JOIN terms t ON p.term = t.term),
-ps AS (SELECT query_id, id, sum(s) / any_value(need) AS score FROM (SELECT query_id, id, term, any_value(need) AS need, sum(weight / (i * i)) * (6 / (pi() * pi())) AS s FROM ph GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) = any_value(need))
-SELECT ps.query_id, ps.id AS podcast_id, round(ps.score, 6) AS score FROM ps""")
-def podcast_matches(spark, d):
-    p, q = read_table(spark, d, "podcasts"), read_table(spark, d, "relevance_queries")
-    hits = retrieval.match(retrieval.postings(p, "id", {"title": "A", "publisher": "B"}), "id", q)
-    return hits.select("query_id", F.col("id").alias("podcast_id"), F.round("score", 6).alias("score"))
-
-
-@query()
-def websearch_matches(spark, d):
-    """Phrases, alternatives and exclusions over titles and descriptions."""
-    index = retrieval.postings(read_table(spark, d, "episodes"), "id", {"title": "A", "description": "B"})
-    asked = [("phrase", '"night market"'), ("either", "railway or lighthouse"), ("without", "salt mine -letters")]
-    return retrieval.parsed_match(index, "id", asked).select("query_id", F.col("id").alias("episode_id"), F.round("score", 6).alias("score"))
-
-
 @query("""SELECT config, count(*) AS n FROM (SELECT CASE string_split(replace(lower(trim(coalesce(language, ''))), '_', '-'), '-')[1] WHEN 'en' THEN 'english' WHEN 'de' THEN 'german'
  WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' WHEN 'pt' THEN 'portuguese' WHEN 'it' THEN 'italian' WHEN 'nl' THEN 'dutch' ELSE 'simple' END AS config FROM episodes) GROUP BY 1""")
 def ts_config_counts(spark, d):
@@ -209,63 +137,6 @@ def category_vocabulary(spark, d):
     return read_table(spark, d, "podcasts").select(F.explode("categories").alias("category")).distinct()
 
 
-_LEGS = f"""{_LEXICAL}, fresh AS (SELECT query_id, episode_id, row_number() OVER (PARTITION BY query_id ORDER BY published_at DESC NULLS LAST, episode_id) AS rank FROM lexical JOIN episodes ON id = episode_id),
-legs AS (SELECT query_id, 'lexical' AS leg, episode_id, rank FROM lexical WHERE rank <= 50 UNION ALL SELECT query_id, 'recent', episode_id, rank FROM fresh WHERE rank <= 50)"""
-
-
-def _legs(spark, d):
-    lex = _lexical(spark, d)
-    dates = read_table(spark, d, "episodes").select(F.col("id").alias("episode_id"), "published_at")
-    fresh = retrieval.top(lex.drop("rank").join(dates, "episode_id"), "query_id", [F.desc_nulls_last("published_at"), F.asc("episode_id")], 50)
-    return lex.filter("rank <= 50").select("query_id", F.lit("lexical").alias("leg"), "episode_id", "rank").unionByName(fresh.select("query_id", F.lit("recent").alias("leg"), "episode_id", "rank"))
-
-
-@query(f"""WITH {_LEGS} SELECT query_id, episode_id, round(rrf_score, 9) AS rrf_score, legs, lexical_rank, recent_rank, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, legs DESC, episode_id) AS rank FROM (
- SELECT query_id, episode_id, round(sum(CASE leg WHEN 'lexical' THEN 1.0 ELSE 0.5 END::DOUBLE / (60 + rank)), 12) AS rrf_score, count(DISTINCT leg) AS legs, min(rank) FILTER (leg = 'lexical') AS lexical_rank, min(rank) FILTER (leg = 'recent') AS recent_rank FROM legs GROUP BY 1, 2)""")
-def rrf_fusion(spark, d):
-    return retrieval.rrf(_legs(spark, d), "episode_id", {"lexical": 1.0, "recent": 0.5}).withColumn("rrf_score", F.round("rrf_score", 9))
-
-
-def _candidates(spark, d):
-    e = read_table(spark, d, "episodes").select(F.col("id").alias("episode_id"), "podcast_id", "title", "description", "language", "duration_seconds", "published_at", "has_transcript")
-    p = read_table(spark, d, "podcasts").select(F.col("id").alias("podcast_id"), F.col("title").alias("podcast_title"), "publisher", "popularity")
-    sizes = e.groupBy("podcast_id").agg(F.count(F.lit(1)).alias("show_episodes"))
-    q = read_table(spark, d, "relevance_queries").select("query_id", "query_text", F.col("filter_language").alias("wanted_language"))
-    lex = _lexical(spark, d, 50).withColumnRenamed("rank", "lexical_rank").withColumnRenamed("score", "lex_episode")
-    rows = lex.join(q, "query_id").join(e, "episode_id").join(p, "podcast_id").join(sizes, "podcast_id")
-    none = F.lit(None).cast("double")
-    return rows.select("*", *[none.alias(c) for c in ("lex_transcript", "lex_podcast", "two_tower_sim", "e5_sim")], F.lit(None).cast("int").alias("e5_rank"), F.lit(None).cast("int").alias("two_tower_rank"))
-
-
-@query()
-def candidate_features(spark, d):
-    return ranking.features(_candidates(spark, d), NOW)
-
-
-@query(f"""WITH {_LEXICAL}, c AS (SELECT l.query_id, l.episode_id, l.score, l.rank, {_norm('query_text')} AS q, {_words('query_text')} AS qw, {_norm('p.title')} AS show, {_norm('e.title')} AS named, {_words('e.title')} AS tw, {_words('e.description')} AS dw,
- e.duration_seconds, count(*) OVER (PARTITION BY l.query_id, e.podcast_id) AS same FROM lexical l JOIN relevance_queries r ON r.query_id = l.query_id JOIN episodes e ON e.id = l.episode_id JOIN podcasts p ON p.id = e.podcast_id WHERE l.rank <= 50)
-SELECT query_id, episode_id, round(score - max(score) OVER (PARTITION BY query_id), 6) AS score_gap, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score_ratio,
- CAST(q = show AS INTEGER) AS show_exact, CAST(length(q) >= 3 AND contains(' ' || show || ' ', ' ' || q || ' ') AS INTEGER) AS query_in_show, CAST(length(q) >= 3 AND contains(' ' || named || ' ', ' ' || q || ' ') AS INTEGER) AS query_in_title,
- round(len(list_filter(qw, lambda w: list_contains(tw, w))) / len(qw), 6) AS title_coverage, round(len(list_filter(qw, lambda w: list_contains(dw, w))) / len(qw), 6) AS description_coverage,
- round(ln(1 + greatest(0, coalesce(duration_seconds, 0))), 6) AS log_duration, same AS same_show FROM c""")
-def candidate_match_features(spark, d):
-    c = _candidates(spark, d)
-    by_query = Window.partitionBy("query_id")
-    q, show, named, qw = text.normalize(F.col("query_text")), text.normalize(F.col("podcast_title")), text.normalize(F.col("title")), text.words(F.col("query_text"))
-    best = F.max("lex_episode").over(by_query)
-    return c.select(
-        "query_id", "episode_id", F.round(F.col("lex_episode") - best, 6).alias("score_gap"), F.round(F.col("lex_episode") / best, 6).alias("score_ratio"),
-        (q == show).cast("int").alias("show_exact"), text.holds(show, q).cast("int").alias("query_in_show"), text.holds(named, q).cast("int").alias("query_in_title"),
-        F.round(text.coverage(qw, text.words(F.col("title"))), 6).alias("title_coverage"), F.round(text.coverage(qw, text.words(F.col("description"))), 6).alias("description_coverage"),
-        F.round(F.log1p(F.greatest(F.lit(0.0), ranking.clean(F.col("duration_seconds")))), 6).alias("log_duration"), F.count(F.lit(1)).over(Window.partitionBy("query_id", "podcast_id")).alias("same_show"),
-    )
-
-
-@query()
-def explain_reasons(spark, d):
-    return ranking.explain(_candidates(spark, d))
-
-
 @query("""WITH m AS (SELECT *, row_number() OVER (ORDER BY popularity DESC, title, publisher) AS row FROM podcasts WHERE starts_with(lower(title), 'br') OR contains(lower(title), ' br') OR starts_with(lower(publisher), 'br') OR contains(lower(publisher), ' br')),
 x AS (SELECT row, 0 AS slot, title AS text FROM m WHERE row <= 40 UNION ALL SELECT row, 1, publisher FROM m WHERE row <= 40),
 y AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY row, slot) AS n FROM x WHERE starts_with(lower(text), 'br') OR contains(lower(text), ' br'))
@@ -282,10 +153,10 @@ def normalize_titles(spark, d):
     return read_table(spark, d, "episodes").select("id", text.normalize(F.col("title")).alias("title"))
 
 
-@query("""SELECT id, sha256(coalesce(title, '') || chr(0) || coalesce(description, '') || chr(0) || coalesce(enclosure_url, '') || chr(0) || coalesce(CAST(epoch_us(published_at) AS VARCHAR), '') || chr(0) || coalesce(CAST(CAST(duration_seconds AS BIGINT) AS VARCHAR), '') || chr(0) || CAST(explicit AS VARCHAR) || chr(0)) AS digest FROM episodes""")
+@query("""SELECT id, sha256(coalesce(title, '') || chr(0) || coalesce(description, '') || chr(0) || coalesce(CAST(CAST(duration_seconds AS BIGINT) AS VARCHAR), '') || chr(0) || coalesce(strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ'), '') || chr(0) || CASE WHEN explicit THEN 'true' ELSE 'false' END || chr(0) || coalesce(enclosure_url, '') || chr(0)) AS digest FROM episodes""")
 def content_hash(spark, d):
     e = read_table(spark, d, "episodes")
-    return e.select("id", hashing.content_hash(F.col("title"), F.col("description"), F.col("enclosure_url"), F.unix_micros("published_at"), F.col("duration_seconds").cast("bigint"), F.col("explicit")).alias("digest"))
+    return e.select("id", hashing.item_hash(*(F.col(c) for c in ("title", "description", "duration_seconds", "published_at", "explicit", "enclosure_url"))).alias("digest"))
 
 
 @query("""SELECT podcast_id, id AS episode_id, place FROM (SELECT podcast_id, id, row_number() OVER (PARTITION BY podcast_id ORDER BY sha256('42:sample:' || CAST(id AS VARCHAR)), id) AS place FROM episodes) WHERE place <= 3""")
@@ -321,7 +192,7 @@ def bucketize_features(spark, d):
     return e.select("id", numbers.bucket(F.col("duration_seconds"), [600, 1800, 3600]).alias("duration_bucket"), numbers.bucket(numbers.age_days(F.col("published_at"), NOW), [7, 30, 365]).alias("age_bucket"))
 
 
-@query("""SELECT podcast_id, CASE WHEN a IS NULL THEN 6 WHEN a <= 2 THEN 1 WHEN a <= 7 THEN 3 WHEN a <= 30 THEN 6 WHEN a <= 90 THEN 12 ELSE 24 END AS hours FROM (
+@query("""SELECT podcast_id, CASE WHEN a IS NULL THEN 6 WHEN a < 1 THEN 1 WHEN a < 3 THEN 3 WHEN a < 7 THEN 6 WHEN a < 30 THEN 12 ELSE 24 END AS hours FROM (
  SELECT podcast_id, greatest(0.0, (epoch_us(TIMESTAMP '2026-10-01') - epoch_us(max(published_at))) / 86400000000.0) AS a FROM episodes GROUP BY 1)""")
 def poll_interval(spark, d):
     newest = read_table(spark, d, "episodes").groupBy("podcast_id").agg(F.max("published_at").alias("newest"))
@@ -376,9 +247,10 @@ def cascade_delete_counts(spark, d):
 
 @query("SELECT podcast_id, g AS guid, item_id FROM (SELECT podcast_id, trim(guid) AS g, min(item_id) AS item_id FROM feed_items WHERE trim(guid) <> '' GROUP BY 1, 2) WHERE (podcast_id, g) NOT IN (SELECT (podcast_id, trim(rss_guid)) FROM episodes WHERE trim(rss_guid) <> '')")
 def insert_absent_items(spark, d):
-    f = read_table(spark, d, "feed_items").select("podcast_id", F.trim("guid").alias("guid"), "item_id").filter("guid <> ''").groupBy("podcast_id", "guid").agg(F.min("item_id").alias("item_id"))
-    known = read_table(spark, d, "episodes").select("podcast_id", F.trim("rss_guid").alias("guid")).filter("guid <> ''")
-    return f.join(known, ["podcast_id", "guid"], "left_anti")
+    key = lambda c: F.concat_ws(":", F.col("podcast_id").cast("string"), F.trim(c))
+    new = read_table(spark, d, "feed_items").filter(F.trim("guid") != "").select("podcast_id", F.trim("guid").alias("guid"), "item_id", key("guid").alias("key"))
+    old = read_table(spark, d, "episodes").filter(F.trim("rss_guid") != "").select(key("rss_guid").alias("key"))
+    return catalog.insert_absent(old, new, "key", "item_id").drop("key")
 
 
 @query("""SELECT id, CAST(sum(s) AS BIGINT) AS sources FROM (SELECT DISTINCT id, 1 AS s FROM episodes WHERE contains(lower(title), 'night market') UNION SELECT id, 2 FROM episodes WHERE contains(lower(description), 'night market') UNION SELECT episode_id, 4 FROM transcripts WHERE contains(lower(content), 'night market')) GROUP BY 1""")
@@ -498,11 +370,11 @@ def parity_jaccard(spark, d):
 
 
 @query("""WITH b AS (SELECT event_type AS name, round(avg(value), 6) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT event_type AS name, round(avg(value), 6) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1)
-SELECT coalesce(c.name, b.name) AS name, c.value, b.value AS floor, coalesce(c.value >= b.value - 0.05, false) AS passed FROM c FULL JOIN b ON b.name = c.name""")
+SELECT *, coalesce(value >= floor, false) AS passed FROM (SELECT coalesce(c.name, b.name) AS name, CASE WHEN coalesce(c.name, b.name) IN ('view', 'click') THEN 'primary' ELSE 'cohort' END AS gate, c.value, round(b.value - CASE WHEN coalesce(c.name, b.name) IN ('view', 'click') THEN 0 ELSE 0.05 END, 6) AS floor FROM c FULL JOIN b ON b.name = c.name)""")
 def gates_and_regressions(spark, d):
     e = read_table(spark, d, "events")
     mean = lambda r: e.filter(F.col("event_id") % 2 == r).groupBy(F.col("event_type").alias("name")).agg(F.round(F.avg("value"), 6).alias("value"))
-    return metrics.gates(mean(1), mean(0))
+    return metrics.gates(mean(1), mean(0), ("view", "click"))
 
 
 # --- monitoring ------------------------------------------------------------------------------------------------
@@ -556,13 +428,12 @@ def synthetic_query_examples(spark, d):
     return _examples(spark, d).select("example_id", "query_text", "positive_id", "show", F.unix_micros("event_time").alias("event_us"))
 
 
-@query(f"""WITH {_SYNTHETIC}, dealt AS (SELECT id AS negative_id, podcast_id AS other, b FROM (SELECT id, podcast_id, b, row_number() OVER (PARTITION BY b ORDER BY sha256('42:pool:' || CAST(id AS VARCHAR)), id) AS n FROM (
- SELECT id, podcast_id, {_hex("sha256('42:deal:' || CAST(id AS VARCHAR))", 1, 8)} % 64 AS b FROM episodes)) WHERE n <= 9),
-asks AS (SELECT *, unnest([{_hex("sha256('42:ask:' || example_id)", 1, 8)} % 64, ({_hex("sha256('42:ask:' || example_id)", 1, 8)} + 1) % 64]) AS b FROM syn)
-SELECT example_id, negative_id, place FROM (SELECT example_id, negative_id, row_number() OVER (PARTITION BY example_id ORDER BY sha256('42:neg:' || example_id || ':' || CAST(negative_id AS VARCHAR)), negative_id) AS place FROM asks a JOIN dealt p ON p.b = a.b WHERE negative_id <> positive_id AND other <> show) WHERE place <= 3""")
+@query(f"""WITH {_SYNTHETIC}, ring AS (SELECT id AS negative_id, row_number() OVER (ORDER BY sha256('42:ring:' || CAST(id AS VARCHAR)), id) - 1 AS spot FROM (SELECT DISTINCT id FROM episodes)), c AS (SELECT count(*) AS size FROM ring),
+d AS (SELECT example_id, positive_id, size, {_hex("sha256('42:neg:' || example_id)", 1, 13)} AS s, 1 + {_hex("sha256('42:stride:' || example_id)", 1, 13)} % greatest(1, (size - 1) // 3) AS t FROM syn, c),
+p AS (SELECT example_id, positive_id, k, (s + k * t) % size AS spot FROM d, (SELECT unnest(range(4)) AS k))
+SELECT example_id, negative_id, place FROM (SELECT example_id, negative_id, row_number() OVER (PARTITION BY example_id ORDER BY k) AS place FROM p JOIN ring USING (spot) WHERE negative_id <> positive_id) WHERE place <= 3""")
 def sampled_negatives(spark, d):
-    pool = read_table(spark, d, "episodes").select("id", F.col("podcast_id").alias("show"))
-    return datasets.negatives(_examples(spark, d), pool, 3, 42)
+    return datasets.negatives(_examples(spark, d), read_table(spark, d, "episodes").select("id"), 3, 42)
 
 
 @query(f"""WITH t AS (SELECT id AS pid, unnest(list_distinct(categories)) AS category FROM podcasts), r AS (SELECT e.id, category FROM episodes e JOIN t ON t.pid = e.podcast_id WHERE {_ELIGIBLE})
