@@ -16,7 +16,7 @@ def normalize(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Normalised tokens in order, without empty ones."""
-    return F.filter(F.split(normalize(text), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^0-9a-z]+"), lambda w: w != "")
 
 
 def holds(haystack: Column, needle: Column, least: int = 3) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from audiolake.functions import text
 from audiolake.operators import lexical, retrieval, vectors
+from audiolake.plans.guards import together
 from audiolake.session import store
 
 LEGS = ("lexical", "e5", "two_tower")
@@ -48,6 +49,7 @@ class Catalogue:
 
     def legs(self, names: tuple[str, ...], k: int) -> DataFrame:
         """(query_id, leg, episode_id, rank) of several legs."""
+        together(self.queries, *[lambda n=n: self.leg(n, k) for n in names])
         parts = [self.leg(n, k).select("query_id", F.lit(n).alias("leg"), "episode_id", "rank") for n in names]
         out = parts[0]
         for p in parts[1:]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from audiolake.functions import text
+from audiolake.plans.guards import spread, together
 from audiolake.operators.retrieval import WEIGHTS, passes, top
 from audiolake.session import store
 
@@ -56,7 +57,7 @@ def term_scores(df: DataFrame, key: str, fields: dict[str, Column], queries: Dat
     vocabulary = query_terms(queries).select(F.explode("terms").alias("term")).distinct()
     parts = [F.struct(text.words(t).alias("w"), F.lit(letter).alias("f")) for letter, t in fields.items()]
     parts += [F.struct(text.words(opening).alias("w"), F.lit("opening").alias("f"))] if opening is not None else []
-    words = df.select(key, F.explode(F.array(*parts)).alias("p")).select(key, F.explode("p.w").alias("term"), F.col("p.f").alias("f"))
+    words = spread(df, key).select(key, F.explode(F.array(*parts)).alias("p")).select(key, F.explode("p.w").alias("term"), F.col("p.f").alias("f"))
     words = words.join(vocabulary, "term", "left_semi")
     found = words.groupBy(key, "term").agg(*[F.count_if(F.col("f") == letter).alias(letter) for letter in fields], F.count_if(F.col("f") == "opening").alias("o"))
     out = [term_score({letter: F.col(letter) for letter in fields}).alias("score")]
@@ -80,19 +81,23 @@ def match(table: DataFrame, key: str, queries: DataFrame, scores: tuple[str, ...
 def matches(episodes: DataFrame, podcasts: DataFrame, transcripts: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What matches in each source: (query_id, episode_id, lex_episode), (…, episode_id, lex_transcript, lex_opening) and (…, podcast_id, lex_podcast)."""
     e = episodes.select(F.col("id").alias("episode_id"), "title", "description")
-    one = match(term_scores(e, "episode_id", {"A": F.col("title"), "B": F.left("description", F.lit(DESCRIPTION))}, queries), "episode_id", queries)
     t = transcripts.select("episode_id", "content")
-    two = term_scores(t, "episode_id", {"D": F.left("content", F.lit(TRANSCRIPT))}, queries, F.left("content", F.lit(OPENING)))
-    two = match(two, "episode_id", queries, ("score", "opened"))
     p = podcasts.select(F.col("id").alias("podcast_id"), "title", "publisher", "categories", "description")
     names = F.concat_ws(" ", "publisher", F.array_join("categories", " "))
-    three = match(term_scores(p, "podcast_id", {"A": F.col("title"), "B": names, "C": F.left("description", F.lit(SHOW))}, queries), "podcast_id", queries)
-    named = lambda df, *pairs: df.withColumnsRenamed(dict(pairs))
-    return (
-        store(named(one, ("score", "lex_episode")), "lex-e"),
-        store(named(two, ("score", "lex_transcript"), ("opened", "lex_opening")), "lex-t"),
-        store(named(three, ("score", "lex_podcast")), "lex-p"),
-    )
+
+    def of_episodes() -> DataFrame:
+        terms = term_scores(e, "episode_id", {"A": F.col("title"), "B": F.left("description", F.lit(DESCRIPTION))}, queries)
+        return store(match(terms, "episode_id", queries).withColumnRenamed("score", "lex_episode"), "lex-e")
+
+    def of_transcripts() -> DataFrame:
+        terms = term_scores(t, "episode_id", {"D": F.left("content", F.lit(TRANSCRIPT))}, queries, F.left("content", F.lit(OPENING)))
+        return store(match(terms, "episode_id", queries, ("score", "opened")).withColumnsRenamed({"score": "lex_transcript", "opened": "lex_opening"}), "lex-t")
+
+    def of_shows() -> DataFrame:
+        terms = term_scores(p, "podcast_id", {"A": F.col("title"), "B": names, "C": F.left("description", F.lit(SHOW))}, queries)
+        return store(match(terms, "podcast_id", queries).withColumnRenamed("score", "lex_podcast"), "lex-p")
+
+    return tuple(together(queries, of_episodes, of_transcripts, of_shows))
 
 
 def evidence(pairs: DataFrame, found: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from audiolake.functions import text
+from audiolake.plans.guards import spread
 from audiolake.session import store
 
 _CLAUSES = "array<struct<excluded:boolean,options:array<array<string>>>>"
@@ -61,7 +62,7 @@ def match(df: DataFrame, key: str, fields: list[str], queries: DataFrame) -> Dat
     words = F.flatten(F.flatten(F.transform("clauses", lambda c: c["options"])))
     vocabulary = asked.select(F.explode(words).alias("term")).distinct()
     parts = F.array(*[F.struct(text.words(F.col(f)).alias("w"), F.lit(i * APART).alias("at")) for i, f in enumerate(fields)])
-    places = df.select(key, F.explode(parts).alias("p")).select(key, F.posexplode("p.w").alias("i", "term"), F.col("p.at").alias("at"))
+    places = spread(df.select(key, *fields), key).select(key, F.explode(parts).alias("p")).select(key, F.posexplode("p.w").alias("i", "term"), F.col("p.at").alias("at"))
     places = places.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.sort_array(F.collect_list(F.col("i") + F.col("at"))).alias("at"))
     places = store(places, "places")
     held = places.groupBy("term").agg(F.count(F.lit(1)).alias("n"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +19,18 @@ def above(condition: Column) -> Column:
     conditional is taken apart to a conjunction whose parts are moved one by one.)
     """
     return (F.monotonically_increasing_id() >= 0) == condition
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt to all cores by ``key`` if its scan has fewer partitions than there are cores (one large row group, say).
+
+    Scans of a cluster's size have more and are left as they are. The rows do not change.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def together(df: DataFrame, *work: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of independent pieces of work that run jobs, started at once, so that the cluster is not idle between their stages."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(w)) for w in work]]
