@@ -52,9 +52,3 @@ def usable_vector(v: Column, dim: int) -> Column:
     """True for arrays of ``dim`` finite values that are not all zero."""
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce((F.size(v) == dim) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
-
-
-def floor_index_percentile(values: Column, q: float) -> Column:
-    """Element min(n - 1, int(n * q)) of the sorted values; NULL for none."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * F.lit(q)).cast("int") + 1))

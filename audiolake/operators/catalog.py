@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from audiolake.functions.hashing import excerpt_hash
+
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
@@ -78,6 +80,65 @@ def pending(items: DataFrame, done: DataFrame, model: str) -> DataFrame:
     return joined.select("id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def excerpts_pending(transcripts: DataFrame, done: DataFrame, chars: int) -> DataFrame:
+    """(episode_id, excerpt_hash, reason): transcripts whose excerpt of ``chars`` characters has no vector, or one of another excerpt."""
+    own = done.groupBy("episode_id").agg(F.max("content_hash").alias("was"))
+    rows = transcripts.filter(F.trim("content") != "").select("episode_id", excerpt_hash(F.col("content"), chars).alias("excerpt_hash")).join(own, "episode_id", "left")
+    return rows.select("episode_id", "excerpt_hash", F.when(F.col("was").isNull(), "missing").when(F.col("was") != F.col("excerpt_hash"), "stale").alias("reason")).filter("reason IS NOT NULL")
+
+
+def snapshot(episodes: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Episodes in the order of their ids with ``position``, ``has_transcript`` and ``transcript_chars``; the order is a distributed sort."""
+    from audiolake.operators.datasets import numbered
+
+    told = transcripts.groupBy(F.col("episode_id").alias("id")).agg(F.max(F.length(F.coalesce("content", F.lit("")))).alias("transcript_chars"))
+    rows = numbered(episodes.drop("has_transcript").join(told, "id", "left"), [F.col("id")], "position")
+    return rows.withColumn("has_transcript", F.col("transcript_chars").isNotNull()).withColumn("transcript_chars", F.coalesce("transcript_chars", F.lit(0)))
+
+
+def without(removed: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows of a table that stay when the removed keys go."""
+    return table.join(removed.select(key).distinct(), key, "left_anti")
+
+
+def unknown_references(rows: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """(reference, value, rows): values of the named columns that their table lacks; NULL counts as unknown. An export must find none."""
+    parts = []
+    for column, table in known.items():
+        own = rows.select(F.col(column).alias("v")).join(table.select(F.col(column).alias("v")).distinct(), "v", "left_anti")
+        parts.append(own.groupBy(F.col("v").cast("string").alias("value")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(column).alias("reference"), "value", "rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def freshness(embeddings: DataFrame, models: list[str], now: Column) -> DataFrame:
+    """(model, n, age_seconds) of every model asked for; a model without vectors has n 0 and no age."""
+    every = embeddings.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    have = embeddings.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.max("created_at").alias("newest"))
+    return every.join(have, "model", "left").select("model", F.coalesce("n", F.lit(0)).alias("n"), ((F.unix_micros(now) - F.unix_micros("newest")) / 1e6).alias("age_seconds"))
+
+
+def due(feeds: DataFrame, next_at: str, now: Column, window_seconds: int, most: int = 500) -> DataFrame:
+    """(id, key): the first ``most`` feeds to poll, never polled ones first, with the key under which a poll of this window is queued once."""
+    rows = feeds.filter(F.col(next_at).isNull() | (F.col(next_at) <= now)).orderBy(F.asc_nulls_first(next_at), "id").limit(most)
+    return rows.select("id", F.concat(F.lit("feed:"), F.col("id").cast("string"), F.lit(":"), F.floor(F.unix_seconds(now) / window_seconds).cast("string")).alias("key"))
+
+
+def enqueue(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (kind, key, position, …) that become jobs: without a key all, with one the first whose (kind, key) no job has."""
+    free = asked.filter(F.col("key").isNull())
+    first = first_by(asked.filter(F.col("key").isNotNull()), ["kind", "key"], [F.asc("position")])
+    return free.unionByName(first.join(jobs.select("kind", "key").filter("key IS NOT NULL").distinct(), ["kind", "key"], "left_anti").select(*asked.columns))
+
+
+def reaped(jobs: DataFrame, now: Column) -> DataFrame:
+    """Running jobs whose lease is over (id, status, attempts, most, lease_expires_at): pending again, or dead after the last attempt."""
+    over = jobs.filter((F.col("status") == "running") & (F.col("lease_expires_at") < now))
+    return over.select("id", F.when(F.col("attempts") >= F.col("most"), "dead").otherwise("pending").alias("status"), F.when(F.col("attempts") >= F.col("most"), "lease expired after final attempt").alias("last_error"))
+
+
 def effective_grades(judgments: DataFrame, is_human: Column) -> DataFrame:
     """(query_id, episode_id, grade): one grade per pair, human before model, then the latest, then the larger."""
     order = F.struct(is_human.cast("int").alias("a"), F.coalesce(F.col("judged_at"), F.lit("")).alias("b"), F.col("grade").alias("c"))

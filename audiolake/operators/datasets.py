@@ -109,6 +109,137 @@ def weighted_order(df: DataFrame, key: str, weight: Column, seed: int, kind: str
     return df.withColumn("draw", F.round(-F.ln(u) / weight, 12))
 
 
+def mined(examples: DataFrame, runs: DataFrame, shows: DataFrame) -> DataFrame:
+    """(example_id, episode_id, best_rank, sources): what systems found for an example's query, without its positive and the positive's show.
+
+    examples: example_id, positive_id, show. runs: system, query_id (the example), episode_id, rank. shows: id, podcast_id.
+    """
+    rows = runs.withColumnRenamed("query_id", "example_id").join(examples.select("example_id", "positive_id", "show"), "example_id").join(shows.select(F.col("id").alias("episode_id"), F.col("podcast_id").alias("other")), "episode_id")
+    rows = rows.filter((F.col("episode_id") != F.col("positive_id")) & (F.col("other") != F.col("show")))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "system", F.col("rank").cast("string")))), ",")  # one entry per system
+    return rows.groupBy("example_id", "episode_id").agg(F.min("rank").alias("best_rank"), listed.alias("sources"))
+
+
+def weighted_draws(keys: DataFrame, key: str, items: DataFrame, n: int, seed: int, kind: str, buckets: int = 4096) -> DataFrame:
+    """(key, k, id): ``n`` draws for each key, an item in proportion to its weight (id, weight), with repeats.
+
+    Draws and the items' stretches of the cumulated weight meet by bucket of the unit interval, so an item of a third of
+    the weight is many rows and no task holds all items.
+    """
+    rows = cumulated(items.filter("weight > 0"))
+    total = rows.agg(F.max("upto")).first()[0]
+    if not total:
+        return keys.select(key, F.lit(0).alias("k"), F.lit(None).cast("long").alias("id")).limit(0)
+    cell = lambda x: F.least(F.floor(x * buckets), F.lit(buckets - 1)).cast("int")
+    rows = rows.select("id", (F.col("before") / total).alias("low"), (F.col("upto") / total).alias("high"))
+    rows = rows.select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    u = F.conv(F.substring(order_key(seed, kind, F.concat_ws(":", F.col(key).cast("string"), F.col("k").cast("string"))), 1, F.lit(12)), 16, 10).cast("double") / float(16**12)
+    draws = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).withColumn("u", u).withColumn("cell", cell(F.col("u")))
+    return draws.join(rows, "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select(key, "k", "id")
+
+
+def cumulated(items: DataFrame) -> DataFrame:
+    """(id, before, upto): running sums of integer weights in the order of ids, by a distributed sort and its partitions' sums."""
+    from audiolake.session import store
+
+    rows = store(items.select("id", F.col("weight").cast("long").alias("weight")).repartitionByRange("id").withColumn("_p", F.spark_partition_id()), "weights")
+    sums = {r["_p"]: r["s"] for r in rows.groupBy("_p").agg(F.sum("weight").alias("s")).collect()}  # a row per partition
+    total, start = 0, []
+    for p in sorted(sums):
+        start += [F.lit(p), F.lit(total).cast("long")]
+        total += sums[p]
+    own = F.sum("weight").over(Window.partitionBy("_p").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    if not start:
+        return rows.select("id", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("upto")).limit(0)
+    rows = rows.withColumn("upto", own + F.element_at(F.create_map(*start), F.col("_p")))
+    return rows.select("id", (F.col("upto") - F.col("weight")).alias("before"), "upto")
+
+
+def mixed_negatives(examples: DataFrame, hard: DataFrame, popular: DataFrame, uniform: DataFrame, n: int, most_hard: int, most_popular: int) -> DataFrame:
+    """(example_id, negative_id, source, place): up to ``n`` of each example, hard ones first, then popular, then uniform ones to fill.
+
+    Each source has (example_id, negative_id, place) and gives its first by place; a negative counts once, under its first source.
+    """
+    part = lambda df, order, name, most: df.filter(F.col("place") <= most).select("example_id", "negative_id", F.lit(order).alias("o"), F.lit(name).alias("source"), F.col("place").alias("p"))
+    rows = part(hard, 0, "hard", most_hard).unionByName(part(popular, 1, "popular", most_popular)).unionByName(part(uniform, 2, "uniform", 1 << 30))
+    rows = rows.join(examples.select("example_id", "positive_id"), "example_id").filter(F.col("negative_id") != F.col("positive_id"))
+    rows = rows.groupBy("example_id", "negative_id").agg(F.min(F.struct("o", "p", "source")).alias("b"))
+    order = Window.partitionBy("example_id").orderBy("b.o", "b.p", "negative_id")
+    return rows.select("example_id", "negative_id", F.col("b.source").alias("source"), F.row_number().over(order).alias("place")).filter(F.col("place") <= n)
+
+
+def distribution(examples: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """(measure, name, value) of examples (positive_id, query_text, negatives int, label_source, event_time): counts, shares and bounds.
+
+    ``classes``: label source -> class; a class without rows has share 0.
+    """
+    q = F.coalesce("query_text", F.lit(""))
+    one = examples.agg(
+        F.count(F.lit(1)).cast("double").alias("examples"), F.count_distinct("positive_id").cast("double").alias("distinct_positives"), F.count_distinct(F.nullif(q, F.lit(""))).cast("double").alias("distinct_queries"), F.coalesce(F.round(F.avg((q == "").cast("double")), 6), F.lit(0.0)).alias("empty_query_share"),
+        F.coalesce(F.min("negatives"), F.lit(0)).cast("double").alias("negatives_min"), F.coalesce(F.round(F.avg("negatives"), 2), F.lit(0.0)).alias("negatives_mean"), F.coalesce(F.max("negatives"), F.lit(0)).cast("double").alias("negatives_max"),
+        *[F.coalesce(F.round(F.avg(F.col("label_source").isin([s for s, k in classes.items() if k == c]).cast("double")), 4), F.lit(0.0)).alias(f"{c}_share") for c in sorted(set(classes.values()))],
+    )
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in one.columns])).alias("s")).select(F.lit("total").alias("measure"), "s.name", "s.value")
+    counts = examples.groupBy(F.col("label_source").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("source").alias("measure"), "name", "value")
+    return rows.unionByName(counts)
+
+
+def distribution_failures(report: DataFrame, least: dict[str, float], most: dict[str, float]) -> DataFrame:
+    """(name, value, bound, kind) of the totals of a report that break a bound."""
+    rules = [(n, v, "min") for n, v in least.items()] + [(n, v, "max") for n, v in most.items()]
+    table = report.sparkSession.createDataFrame(rules, "name string, bound double, kind string")
+    rows = report.filter("measure = 'total'").join(table, "name")
+    return rows.filter(((F.col("kind") == "min") & (F.col("value") < F.col("bound"))) | ((F.col("kind") == "max") & (F.col("value") > F.col("bound")))).select("name", "value", "bound", "kind")
+
+
+def example_rules(known_sources: list[str], now: Column) -> dict[str, Column]:
+    """Named conditions of a training example, for :func:`contract`."""
+    listed = lambda c: F.forall(c, lambda x: x.isNotNull() & (x > 0))
+    return {
+        "example_id": F.length("example_id") >= 1, "positive": F.col("positive_id") > 0, "strength": F.col("label_strength").between(0.0, 1.0) & ~F.isnan("label_strength"), "source": F.col("label_source").isin(known_sources),
+        "version": F.col("dataset_version").rlike(r"^[0-9][0-9A-Za-z.\-]*$"), "negatives_listed": listed("negative_ids"), "history_listed": listed("history"), "positive_not_negative": ~F.array_contains("negative_ids", F.col("positive_id")),
+        "positive_not_in_history": ~F.array_contains("history", F.col("positive_id")), "not_in_future": F.col("event_time") <= now,
+    }
+
+
+def strict_columns(df: DataFrame, schema: dict[str, str]) -> list[str]:
+    """Differences of a table's columns from a strict schema: missing, extra and of another type."""
+    have = dict(df.dtypes)
+    return [f"missing {c}" for c in sorted(schema.keys() - have.keys())] + [f"extra {c}" for c in sorted(have.keys() - schema.keys())] + [f"{c} is {have[c]}, not {t}" for c, t in sorted(schema.items()) if c in have and have[c] != t]
+
+
+def canonical_digest(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row (rows, digest): digest of the digests of the partitions of the canonical form, rows as compact JSON with sorted names in the order of the key.
+
+    The form is cut into pieces of 1,000 rows by place, so that no task or row holds all of it and the result does not depend on partitions.
+    """
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    rows = numbered(df.select(F.col(key).alias("_k"), line.alias("line")), [F.col("_k"), F.col("line")], "at")
+    piece = rows.groupBy(F.floor(F.col("at") / 1000).alias("piece")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))  # 1,000 rows
+    top = piece.groupBy(F.floor(F.col("piece") / 1000).alias("part")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "d"))), lambda s: s["d"]), "\n"), 256).alias("d"), F.sum("n").alias("n"))
+    return top.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda s: s["d"]), "\n"), 256).alias("digest"))  # a millionth of the rows
+
+
+def relevance_queries(episodes: DataFrame, podcasts: DataFrame, most_shows: int, most_people: int, language: str = "en") -> DataFrame:
+    """(query_id, query_text, query_type): names of the largest shows of a language, and of publishers that look like persons, each name once."""
+    from audiolake.functions.hashing import query_id
+    from audiolake.operators.contract import looks_like_person
+
+    sizes = episodes.groupBy(F.col("podcast_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    shows = podcasts.filter(F.startswith(F.lower(F.coalesce("language", F.lit(""))), F.lit(language))).join(sizes, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def first(rows: DataFrame, name: Column, kind: str, most: int) -> DataFrame:
+        named = rows.select(normalize(name).alias("query_text"), "n", "id").filter(F.length("query_text") >= 3)
+        best = named.groupBy("query_text").agg(F.max(F.struct("n", -F.col("id"))).alias("b"))
+        return best.orderBy(F.desc("b"), "query_text").limit(most).select("query_text", F.lit(kind).alias("query_type"))
+
+    titles = first(shows, F.col("title"), "navigational", most_shows)
+    people = first(shows.filter(looks_like_person(F.col("publisher"))), F.col("publisher"), "entity", most_people + most_shows)
+    people = people.join(titles.select("query_text"), "query_text", "left_anti").select("query_text", "query_type")
+    rows = titles.unionByName(people)
+    return rows.select(query_id(F.col("query_type"), F.col("query_text")).alias("query_id"), "query_text", "query_type")
+
+
 def contract(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations, examples): counts of rows that break each named rule and up to 20 of their smallest keys.
 

@@ -345,28 +345,12 @@ def pool_ndcg_linear(spark, d):
     return metrics.pool_ndcg(_scored(spark, d), 10)
 
 
-def _two_systems(spark, d):
-    lex, q = _lexical(spark, d), _qrels(spark, d)
-    fresh = _legs(spark, d).filter("leg = 'recent'").drop("leg")
-    return metrics.paired(metrics.per_query(lex, q), metrics.per_query(fresh, q), "ndcg_10")
-
-
-@query()
-def paired_wins(spark, d):
-    return metrics.wins(_two_systems(spark, d))
-
-
-@query()
-def bootstrap_paired(spark, d):
-    return metrics.bootstrap(_two_systems(spark, d))
-
-
-@query(f"""WITH {_LEGS}, a AS (SELECT query_id, episode_id, rank FROM legs WHERE leg = 'lexical' AND rank <= 10), b AS (SELECT query_id, episode_id, rank FROM legs WHERE leg = 'recent' AND rank <= 10)
+@query(f"""WITH {_LEGS}, a AS (SELECT query_id, episode_id, rank FROM legs WHERE leg = 'lexical' AND rank <= 10), b AS (SELECT query_id, episode_id, rank FROM legs WHERE leg = 'e5' AND rank <= 10)
 SELECT query_id, round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / count(*), 6) AS jaccard, bool_and(ra IS NOT DISTINCT FROM rb) AS same_top FROM (
  SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.episode_id = b.episode_id) GROUP BY 1""")
 def parity_jaccard(spark, d):
     legs = _legs(spark, d)
-    return metrics.jaccard(legs.filter("leg = 'lexical'"), legs.filter("leg = 'recent'"), 10)
+    return metrics.jaccard(legs.filter("leg = 'lexical'"), legs.filter("leg = 'e5'"), 10)
 
 
 @query("""WITH b AS (SELECT event_type AS name, round(avg(value), 6) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1), c AS (SELECT event_type AS name, round(avg(value), 6) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1)
@@ -380,7 +364,8 @@ def gates_and_regressions(spark, d):
 # --- monitoring ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS linear_50, round(quantile_cont(value, 0.95), 6) AS linear_95, quantile_disc(value, 0.5) AS nearest_50, quantile_disc(value, 0.95) AS nearest_95 FROM events GROUP BY 1")
+@query("""SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS linear_50, round(quantile_cont(value, 0.95), 6) AS linear_95, quantile_disc(value, 0.5) AS nearest_50, quantile_disc(value, 0.95) AS nearest_95,
+ list_sort(list(value))[least(count(value), CAST(floor(count(value) * 0.5) AS BIGINT) + 1)] AS floor_50, list_sort(list(value))[least(count(value), CAST(floor(count(value) * 0.95) AS BIGINT) + 1)] AS floor_95 FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_percentiles(spark, d):
     return monitoring.percentiles(read_table(spark, d, "events"), "event_type", "value")
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from audiolake.session import shared_folder
 
@@ -94,3 +95,56 @@ def claim(jobs: DataFrame, now, n: int) -> DataFrame:
     """The ``n`` oldest due pending jobs with their attempt counted and a lease; one writer per job table."""
     due = jobs.filter((F.col("status") == "pending") & (F.col("run_at") <= F.lit(now))).orderBy("run_at", "id").limit(n)
     return due.withColumn("status", F.lit("running")).withColumn("attempts", F.col("attempts") + 1).withColumn("lease_expires_at", F.lit(now) + F.expr("INTERVAL 5 minutes"))
+
+
+def split_batches(df: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], label: str) -> dict[str, DataFrame]:
+    """Run a stream and write several results of each micro-batch from one reading of it.
+
+    Every result of a batch goes to a folder of the batch's number, which a repeated batch overwrites, so that an
+    executor or driver lost between two writes adds no row twice and leaves no result of a batch without the other.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/stream-{label}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, f in outputs.items():
+            f(batch).write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+        batch.unpersist()
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return {name: spark.read.parquet(f"{base}/{name}").drop("batch") for name in outputs}
+
+
+def attributed_playbacks(playbacks: DataFrame, served: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Playbacks (event_id, query_id or NULL, episode_id) with ``rank``, ``score`` and ``outcome``: attributed, unattributed (no search named) or rejected (not a result of it, or no such episode)."""
+    known = playbacks.join(episodes.select("episode_id").distinct().withColumn("_e", F.lit(True)), "episode_id", "left").join(served.select("query_id", "episode_id", "rank", "score"), ["query_id", "episode_id"], "left")
+    outcome = F.when(F.col("_e").isNull(), "rejected").when(F.col("query_id").isNull(), "unattributed").when(F.col("rank").isNull(), "rejected").otherwise("attributed")
+    return known.select("event_id", "query_id", "episode_id", "rank", "score", outcome.alias("outcome"))
+
+
+def exported(events: DataFrame, session: str, wanted: DataFrame, at: str) -> DataFrame:
+    """(session, place, kind, event_id, at) of the wanted sessions: searches first, in time order, then the other events by time and id."""
+    rows = events.join(wanted.select(session).distinct(), session, "left_semi")
+    order = Window.partitionBy(session).orderBy(F.desc("search"), at, "event_id")
+    return rows.select(session, F.row_number().over(order).alias("place"), F.when(F.col("search"), "search").otherwise("event").alias("kind"), "event_id", at)
+
+
+def alerts(events: DataFrame, at: str, rules: list[tuple[str, str, str, str, str, float, int]], delay: str | None = None) -> DataFrame:
+    """(rule, start, n, bad, ratio) of windows in which a rule (name, width, slide, of, bad, limit, least) is broken.
+
+    ``of`` and ``bad`` are conditions; a window of at least ``least`` rows that meet ``of`` fires if the share of those that also
+    meet ``bad`` passes the limit. One pass over the events for the rules of a window, which may be a stream.
+    """
+    base = events.withWatermark(at, delay) if delay else events
+    out = None
+    for width, slide in dict.fromkeys((r[1], r[2]) for r in rules):
+        own = [r for r in rules if (r[1], r[2]) == (width, slide)]
+        cells = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(F.expr(of), F.lit(False)).alias("of"), F.coalesce(F.expr(of) & F.expr(bad), F.lit(False)).alias("bad"), F.lit(float(limit)).alias("limit"), F.lit(least).alias("least")) for name, _, _, of, bad, limit, least in own])
+        rows = base.select(F.col(at).alias("_at"), F.explode(cells).alias("c"))
+        rows = rows.groupBy(F.window("_at", width, slide).alias("w"), "c.rule", "c.limit", "c.least").agg(F.count_if("c.of").alias("n"), F.count_if("c.bad").alias("bad"))
+        rows = rows.filter((F.col("n") >= F.col("least")) & (F.col("n") > 0) & (F.col("bad") > F.col("limit") * F.col("n"))).select("rule", F.col("w.start").alias("start"), "n", "bad", F.round(F.col("bad") / F.col("n"), 6).alias("ratio"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

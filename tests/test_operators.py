@@ -97,8 +97,9 @@ def test_text_functions(spark):
 def test_numbers(spark):
     assert [one(spark, numbers.bucket(F.lit(v).cast("double"), [10, 20])) for v in (None, -1.0, 0.0, 10.0, 10.5, 99.0)] == [0, 0, 1, 1, 2, 3]
     assert [one(spark, numbers.backoff(F.lit(n), 5, 60)) for n in (1, 2, 5, 4000)] == [5, 10, 60, 60]
-    values = spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40)], "v double")
-    assert values.agg(numbers.floor_index_percentile(F.col("v"), 0.5).alias("x")).first().x == 30
+    values = spark.createDataFrame([("a", float(x)) for x in (10, 20, 30, 40)] + [("b", 5.0), ("c", None)], "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in monitoring.percentiles(values, "g", "v", (0.5,)).collect()}
+    assert got == {"a": (4, 25.0, 20.0, 30.0), "b": (1, 5.0, 5.0, 5.0)}
     assert one(spark, hashing.shard(F.lit("abc"), 7)) == int(__import__("hashlib").sha256(b"abc").hexdigest(), 16) % 7
 
 
