@@ -125,6 +125,17 @@ def test_consensus_beats_majority(spark):
     assert min(trust["good a"], trust["good b"]) > max(trust["random"], trust["flip"]) + 0.3
 
 
+def test_both_layouts_and_convergence(spark):
+    _, df = judgments(spark)
+    cast = consensus.votes(df)
+    a, b = consensus.reweigh(cast), consensus.reweigh(cast, gathered=0)
+    assert a.judges == b.judges and abs(a.accuracy - b.accuracy).max() < 1e-9 and a.rounds == b.rounds > 1
+    key = lambda f: {(r.query_id, r.episode_id): tuple(r.vs) for r in f.items.collect()}
+    assert key(a) == key(b)
+    with pytest.raises(RuntimeError):
+        consensus.reweigh(cast, most_rounds=1)
+
+
 def test_latest_grade_counts_and_empty(spark):
     data = [("q", 1, 0, "A", "2026-01-01T00:00:00Z"), ("q", 1, 3, "a ", "2026-02-01T00:00:00Z"), ("q", 1, 2, "a", "bad date")]
     df = spark.createDataFrame(data, "query_id string, episode_id long, grade int, judge string, judged_at string")
