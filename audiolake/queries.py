@@ -23,11 +23,6 @@ from audiolake.sources import files
 from audiolake.streaming import events as streams
 
 EXACT_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
-#: Zones among which a feed without a stated zone is estimated; a parameter of the operator.
-CANDIDATE_ZONES = [
-    "Africa/Lagos", "America/Chicago", "America/Los_Angeles", "America/New_York", "America/Sao_Paulo", "Asia/Kolkata",
-    "Asia/Tokyo", "Australia/Sydney", "Europe/Berlin", "Europe/Lisbon", "Europe/London", "UTC",
-]
 NOW = datetime(2026, 10, 1)
 _QRELS = """qrels AS (SELECT query_id, episode_id, CAST(arg_max(grade, {'a': CASE WHEN starts_with(lower(trim(judge)), 'llm:') THEN 0 ELSE 1 END, 'b': coalesce(judged_at, ''), 'c': grade}) AS INTEGER) AS grade
   FROM judgments WHERE grade BETWEEN 0 AND 3 GROUP BY 1, 2)"""
@@ -47,11 +42,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return done.filter(above(F.col("instant").isNotNull())).select("item_id", F.unix_micros("instant").alias("published_us")).distinct()
 
 
+def _estimated(items: DataFrame) -> DataFrame:
+    """Zones of the feeds without a stated one, the usual delay measured on all feeds."""
+    delay = timestamps.usual_delay(items, "pub_date", "fetched_at")
+    return timestamps.estimate_zones(items.filter(F.col("time_zone").isNull()), "podcast_id", "pub_date", "fetched_at", delay=delay)
+
+
 @query()
 def p6_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """The likeliest zone of every feed without a stated one."""
-    items = _items_with_zone(spark, d).filter(F.col("time_zone").isNull())
-    return timestamps.estimate_zones(items, "podcast_id", "pub_date", "fetched_at", CANDIDATE_ZONES)
+    return _estimated(_items_with_zone(spark, d))
+
+
+@query()
+def p6_converted(spark: SparkSession, d: str) -> DataFrame:
+    """The instant of every item, local times of feeds without a stated zone by the estimated one."""
+    items = _items_with_zone(spark, d)
+    done = timestamps.normalise_timestamps(items, "pub_date", F.col("time_zone"), estimated=_estimated(items), source="podcast_id")
+    return done.filter(above(F.col("instant").isNotNull())).select("item_id", F.unix_micros("instant").alias("published_us"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------
