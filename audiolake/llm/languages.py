@@ -36,9 +36,18 @@ NAMES = {
     "fr": "fr fra fre french français französisch francés francês",
     "pt": "pt por portuguese português portugiesisch portugais portugués",
 }
-# Candidate languages by script, named by the first word of a letter's Unicode name.
-SCRIPTS = {"LATIN": LANGUAGES}
+# Ranges of the scripts, first and last letter, and the languages here that each can write. Words in
+# a script that none of them writes say nothing.
+SCRIPTS = {
+    ("A", "ɏ"): LANGUAGES, ("Ḁ", "ỿ"): LANGUAGES, ("Ͱ", "Ͽ"): (), ("Ѐ", "ԯ"): (), ("԰", "֏"): (), ("֐", "ۿ"): (), ("ऀ", "෿"): (), ("฀", "໿"): (),
+    ("Ⴀ", "ჿ"): (), ("ᄀ", "ᇿ"): (), ("Ⲁ", "⳿"): (), ("぀", "ヿ"): (), ("㐀", "鿿"): (), ("가", "힣"): (),
+}
+# Letters beyond a to z of the languages' alphabets. A word with such a letter can only be of a language that has it.
+LETTERS = {"de": "äöüß", "en": "", "es": "áéíóúüñ", "fr": "àâæçéèêëîïôœùûüÿ", "pt": "áâãàçéêíóôõú"}
+#: Log price of a change of language between two words: about the weight of two words that only one language uses (``MOST``), so
+#: that a name or a loan word does not break a sentence while a sentence in another language does.
 SWITCH = 9.0
+#: Bound of a word's log-likelihood ratio, so that no single word decides a text.
 MOST = 5.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -62,10 +71,16 @@ def plain(text: str) -> str:
 
 
 def candidates(word: str) -> tuple[str, ...]:
-    """Languages that the script of a word allows."""
+    """Languages that the script and the letters of a word allow; all of the script's where no alphabet has its letters."""
     if word.isascii():
-        return SCRIPTS["LATIN"]
-    return SCRIPTS.get(unicodedata.name(word[0], "").split(" ")[0], ())
+        return LANGUAGES
+    allowed = set(LANGUAGES)
+    for c in word:
+        if c.isalpha():
+            allowed &= set(next((langs for (low, high), langs in SCRIPTS.items() if low <= c <= high), ()))
+    odd = {c for c in word.lower() if c.isalpha() and not c.isascii()}
+    own = {lang for lang in allowed if odd <= set(LETTERS[lang])}
+    return tuple(lang for lang in LANGUAGES if lang in (own or allowed))
 
 
 class Model:

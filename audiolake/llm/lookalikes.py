@@ -26,12 +26,14 @@ from pyspark.sql.window import Window
 
 from audiolake.session import store
 
-# Letters that look like the Latin letter on the left, from the public confusables of Unicode (UTS 39).
+# Letters that look like the Latin letter on the left, from the public confusables of Unicode (UTS 39):
+# Cyrillic, Greek, Armenian, Latin extensions; of the capitals also Coptic, Cherokee and Lisu. Digits are not letters here.
 LOOKALIKES = {
-    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "еҽ", "g": "ɡ", "h": "һհ", "i": "іιı", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո",
-    "o": "оοօ", "p": "рρ", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγ",
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "H": "НΗ", "I": "ІΙӀ", "J": "Ј", "K": "КΚ", "M": "МΜϺ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ", "-": "‐‑−",
+    "a": "аαɑ", "c": "сϲⲥ", "d": "ԁ", "e": "еҽ", "g": "ɡ", "h": "һհ", "i": "іιı", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո",
+    "o": "оοօⲟ", "p": "рρⲣ", "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγ",
+    "A": "АΑᎪꓮ", "B": "ВΒⲂᏴꓐ", "C": "СϹⲤᏟꓚ", "D": "Ꭰꓓ", "E": "ЕΕⲈᎬꓰ", "F": "Ϝꓝ", "G": "ᏀꓖԌ", "H": "НΗⲎᎻꓧ", "I": "ІΙӀⲒꓲ", "J": "ЈᎫꓙ",
+    "K": "КΚⲔᏦꓗ", "L": "ᏞꓡⳐ", "M": "МΜϺⲘᎷꓟ", "N": "ΝⲚꓠ", "O": "ОΟՕⲞꓳ", "P": "РΡⲢᏢꓑ", "R": "ᎡꓣᏒ", "S": "ЅՏᏚꓢ", "T": "ТΤⲦᎢꓔ", "U": "Սꓴ",
+    "V": "ᏙꓦѴ", "W": "ᎳꓪԜ", "X": "ХΧⲬꓫ", "Y": "УΥҮⲨꓬ", "Z": "ΖᏃꓜ", "-": "‐‑−",
 }
 #: Log price of a change of script between two letters of a token.
 SCRIPT_CHANGE = -12.0
@@ -182,6 +184,19 @@ def form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     return df.withColumn(out, F.pandas_udf(convert, T.StringType())(F.col(text)))
 
 
+def groups(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, group_id, variant_id, copies, links): one row per row whose text reads like a differently stored one.
+
+    ``copies`` rows store the same characters, ``links`` rows of the group store others; nothing is spelt out in pairs.
+    """
+    rows = form(df.select(key, text).filter(F.length(text) > 0), text).select(key, F.xxhash64("form").alias("group_id"), F.xxhash64(text).alias("variant_id")).distinct()
+    rows = store(rows, "forms")
+    variants = rows.groupBy("group_id", "variant_id").agg(F.count(F.lit(1)).alias("copies"))
+    whole = variants.groupBy("group_id").agg(F.sum("copies").alias("all"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = variants.join(whole, "group_id").select("group_id", "variant_id", "copies", (F.col("all") - F.col("copies")).alias("links"))
+    return rows.join(sized, ["group_id", "variant_id"]).select(key, "group_id", "variant_id", "copies", "links")
+
+
 def pairs(df: DataFrame, key: str, text: str, expand: int = 16) -> DataFrame:
     """(a, b), a < b: rows whose texts read the same but are stored as different characters.
 

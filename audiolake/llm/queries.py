@@ -60,6 +60,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return same.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p9_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that read alike but are stored differently, a row each with group, variant, copies and links."""
+    return lookalikes.groups(read_table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     done = lookalikes.form(read_table(spark, d, "documents").select("doc_id", "text"), "text")
     return done.select("doc_id", "form", (F.col("form") != F.col("text")).alias("changed"))
@@ -71,7 +76,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Episodes with partners by the same title, description and guid rule, in groups."""
+    """Episodes with partners by the rule of p4_found (title and description), in groups."""
     return neardup.groups(read_table(spark, d, "episodes"), "id", "title", "description")
 
 
@@ -134,5 +139,6 @@ QUERIES = {
     "p8_mix_records": p8_mix_records,
     "p9_found": p9_found,
     "p9_forms": p9_forms,
+    "p9_groups": p9_groups,
 }
 SQL: dict[str, str] = {"p5_agreement": P5_AGREEMENT_SQL}

@@ -120,6 +120,27 @@ def test_forms_and_pairs(spark):
     assert lookalikes.pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_groups_of_variants(spark):
+    texts = ["plain tea"] * 300 + ["рlain tea", "plаin tea", "plаin tea", "other", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, form string")
+    got = {r.doc_id: (r.copies, r.links) for r in lookalikes.groups(df, "doc_id", "text").collect()}
+    assert got == {**{i: (300, 3) for i in range(300)}, 300: (1, 302), 301: (2, 301), 302: (2, 301)}
+    assert lookalikes.groups(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_capitals_of_more_scripts(spark):
+    df = spark.createDataFrame([(1, "ᎪΡΡⅬE PIE and TEA"), (2, "APPLE PIE and TEA"), (3, "ꓮꓑꓑꓡꓰ PIE and TEA"), (4, "ᎣᏏᏲ"), (5, "APPLE PIE and TEA said so")], "doc_id long, text string")
+    forms = {r.doc_id: r.form for r in lookalikes.form(df, "text").collect()}
+    assert forms[1] == forms[2] == forms[3] == "APPLE PIE and TEA" and forms[4] == "ᎣᏏᏲ"
+
+
+def test_scripts_and_letters_narrow_languages():
+    assert languages.candidates("straße") == ("de",) and languages.candidates("mañana") == ("es",) and languages.candidates("não") == ("pt",) and languages.candidates("cœur") == ("fr",)
+    assert languages.candidates("été") == ("es", "fr", "pt")
+    assert languages.candidates("the") == languages.LANGUAGES and languages.candidates("łódź") == languages.LANGUAGES
+    assert languages.candidates("мир") == languages.candidates("世界") == languages.candidates("миr") == ()
+
+
 def test_hot_group_stays_linear(spark):
     texts = ["plain tea"] * 300 + ["рlain tea", "plаin tea"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
