@@ -104,7 +104,7 @@ SELECT source_id, count(*) AS n, round(count(*) FILTER (show <> source_show) / c
 def similar_lists(spark, d):
     rows = retrieval.diversify(_neighbours(spark, d), 10).withColumn("similarity", 1 - F.col("distance"))
     rows = rows.join(read_table(spark, d, "episodes").select("id", "title"), "id")
-    return metrics.list_report(rows, read_table(spark, d, "podcasts"), metrics.top_decile(read_table(spark, d, "podcasts")))
+    return metrics.list_report(rows, metrics.top_decile(read_table(spark, d, "podcasts")))
 
 
 @query(f"""WITH {_DIVERSE}, p AS (SELECT a.source_id, list_dot_product(x.v, y.v) / (x.l * y.l) AS s FROM shown a JOIN shown b ON a.source_id = b.source_id AND a.id < b.id JOIN u x ON x.id = a.id JOIN u y ON y.id = b.id)

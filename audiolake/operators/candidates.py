@@ -60,27 +60,34 @@ class Catalogue:
 def popular(c: Catalogue, k: int, by_category: bool) -> DataFrame:
     """(query_id, episode_id, rank): most popular episodes under the query's filters, of the categories it names if it names any.
 
-    A category is named if all its words are in the query. Only the ``k`` first of each (language, duration class, category)
-    can be first for a query, but filters are free text, so each distinct filter is ranked once and queries share it.
+    A category is named if all its words are in the query. Equal filters are ranked once and shared by their queries. A
+    filter meets an episode by equality: of its language with a beginning of the episode's, and of its categories with the
+    show's (or of none with none).
     """
     shows = c.podcasts.select(F.col("id").alias("podcast_id"), "popularity", "categories")
-    rows = c.episodes.select(F.col("id").alias("episode_id"), "podcast_id", "language", "duration_seconds", "published_at").join(shows, "podcast_id")
     asked = c.queries.dropDuplicates(["query_id"]).select("query_id", F.lower(F.coalesce("filter_language", F.lit(""))).alias("wanted"), F.coalesce("filter_max_seconds", F.lit(0)).cast("long").alias("most"), F.array_distinct(text.words(F.col("query_text"))).alias("w"))
-    names = shows.select(F.explode("categories").alias("category")).distinct().withColumn("cw", text.words(F.col("category"))).filter(F.size("cw") > 0)
     if by_category:
+        names = shows.select(F.explode("categories").alias("category")).distinct().withColumn("cw", F.array_distinct(text.words(F.col("category")))).filter(F.size("cw") > 0)
         first = asked.select("query_id", F.explode("w").alias("word"))
-        named = first.join(names.select("category", F.explode(F.array_distinct("cw")).alias("word"), F.size(F.array_distinct("cw")).alias("need")), "word").groupBy("query_id", "category", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
-        named = named.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("category")), "\n").alias("named"))
+        named = first.join(names.select("category", F.explode("cw").alias("word"), F.size("cw").alias("need")), "word").groupBy("query_id", "category", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
+        named = named.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("category")), "\n").alias("named"))  # at most the query's words
         asked = asked.join(named, "query_id", "left").withColumn("named", F.coalesce("named", F.lit("")))
     else:
         asked = asked.withColumn("named", F.lit(""))
-    kinds = asked.select("wanted", "most", "named").distinct()
-    own = (F.col("named") == "") | F.coalesce(F.arrays_overlap(F.col("categories"), F.split("named", "\n")), F.lit(False))
-    ok = retrieval.passes(F.col("language"), F.col("wanted"), F.col("duration_seconds"), F.col("most")) & own
+    kinds = asked.select("wanted", "most", "named").distinct().withColumn("category", F.explode(F.split("named", "\n")))
+    spoken = F.lower(F.coalesce("language", F.lit("")))
+    beginnings = F.transform(F.sequence(F.lit(0), F.length(spoken)), lambda n: F.left(spoken, n))
+    shelves = F.concat(F.array(F.lit("")), F.coalesce("categories", F.array().cast("array<string>"))) if by_category else F.array(F.lit(""))
+    rows = c.episodes.select(F.col("id").alias("episode_id"), "podcast_id", "language", "duration_seconds", "published_at").join(shows, "podcast_id")
+    rows = rows.select("episode_id", "duration_seconds", "published_at", "popularity", F.explode(F.array_distinct(beginnings)).alias("wanted"), F.array_distinct(shelves).alias("c")).join(kinds.select("wanted").distinct(), "wanted", "left_semi")
+    rows = rows.withColumn("category", F.explode("c")).drop("c").join(kinds, ["wanted", "category"])
+    rows = rows.filter((F.col("most") <= 0) | F.coalesce(F.col("duration_seconds") <= F.col("most"), F.lit(False)))
+    keys = ["wanted", "most", "named"]
     order = [F.desc("popularity"), F.desc_nulls_last("published_at"), F.asc("episode_id")]
-    kept = rows.join(F.broadcast(kinds) if kinds.count() <= 10_000 else kinds, ok)  # distinct filters, far fewer than queries
-    best = retrieval.top(kept, ["wanted", "most", "named"], order, k)
-    return asked.join(best.select("wanted", "most", "named", "episode_id", "rank"), ["wanted", "most", "named"]).select("query_id", "episode_id", "rank")
+    # an episode on several of a filter's shelves is there several times: k of them for each shelf are enough
+    best = retrieval.top(rows, [*keys, "category"], order, k, "r").select(*keys, "episode_id", "popularity", "published_at").distinct()
+    best = retrieval.top(best, keys, order, k)
+    return asked.join(best.select(*keys, "episode_id", "rank"), keys).select("query_id", "episode_id", "rank")
 
 
 def fused(c: Catalogue, names: tuple[str, ...], depth: int, k: int) -> DataFrame:

@@ -202,12 +202,13 @@ def pool_similarities(queries: DataFrame, pool: DataFrame, per_block: int = 256)
                     s = np.round(matrix @ x[~asks].T, 9)
                     yield pd.DataFrame({"query_id": np.repeat(names, s.shape[1]), "id": np.tile(keys[~asks], len(names)), "similarity": s.ravel()})
 
-    rows = asks.unionByName(rest).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "key")
+    cell = (F.col("block") * parts + F.col("part")).cast("int")
+    rows = asks.unionByName(rest).repartitionById(blocks * parts, cell).sortWithinPartitions("block", "part", F.desc("asks"), "key")
     found = rows.mapInPandas(run, "query_id string, id string, similarity double")
     return found.select(F.col("query_id").cast(queries.schema["query_id"].dataType), F.col("id").cast(pool.schema["id"].dataType).alias("id"), "similarity")
 
 
-def list_report(lists: DataFrame, shows: DataFrame, top: DataFrame) -> DataFrame:
+def list_report(lists: DataFrame, top: DataFrame) -> DataFrame:
     """(source_id, n, novelty, shows, repetition, top_decile_share, sim_mean, sim_min): what lists of similar episodes are like.
 
     lists: source_id, source_show, id, show, title, similarity. ``top``: podcast_id of the most popular decile.

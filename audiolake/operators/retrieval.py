@@ -65,8 +65,8 @@ def vector_top(corpus: DataFrame, queries: DataFrame, k: int, dim: int, per_bloc
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     stored = own.select(every(blocks).alias("block"), deal("id", parts).alias("part"), F.lit(False).alias("asks"), "id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), *extra)
     asking = asked.select(deal("query_id", blocks).alias("block"), every(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), "embedding", *extra)
-    cells = 4 * parts if blocks == 1 else 4 * parts * blocks
-    rows = stored.unionByName(asking).repartition(cells, "block", "part").sortWithinPartitions("block", "part", F.desc("asks"), "id")
+    cell = (F.col("block") * parts + F.col("part")).cast("int")
+    rows = stored.unionByName(asking).repartitionById(blocks * parts, cell).sortWithinPartitions("block", "part", F.desc("asks"), "id")
     found = rows.mapInPandas(lambda batches: _scan_blocks(batches, k), "query_id long, id long, similarity double")
     return top(found, "query_id", [F.desc(F.round("similarity", 9)), F.asc("id")], k)
 

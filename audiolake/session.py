@@ -17,12 +17,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (single-machine tests) a temporary folder is used.
+    Only where the session has no such setting and runs in one process on one machine, as in tests, a temporary
+    folder is used; on a cluster the executors would each write to their own disk, so it is an error there.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
         folder = getattr(spark.sparkContext, "_audiolake_folder", None)
         if folder is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
             folder = tempfile.mkdtemp(prefix="audiolake-")
             spark.sparkContext._audiolake_folder = folder
             spark.sparkContext.setCheckpointDir(folder)
@@ -34,10 +38,15 @@ def store(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/audiolake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the process ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

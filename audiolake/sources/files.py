@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITUNES = "{http://www.itunes.com/dtds/podcast-1.0.dtd}"
-FEED_SCHEMA = "feed_title string, feed_language string, feed_categories array<string>, position int, guid string, title string, description string, enclosure_url string, pub_date string, duration string, explicit string"
+PODCAST = "{https://podcastindex.org/namespace/1.0}"
+FEED_SCHEMA = (
+    "feed_title string, feed_language string, feed_categories array<string>, feed_publisher string, feed_image string, feed_link string, feed_explicit string, position int, guid string, title string, description string, "
+    "enclosure_url string, pub_date string, duration string, explicit string, image string, link string, transcripts array<struct<url:string,type:string,language:string>>"
+)
 
 
 def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -28,6 +32,11 @@ def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """JSON lines with every field of every row, NULL ones too."""
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, episode_id, grade) of lines ``query 0 episode grade``; other lines are left out."""
     p = F.split(F.trim("value"), r"\s+")
@@ -62,20 +71,23 @@ def feed_items(xml: str | None) -> list[tuple]:
     for c in channel.findall("category"):
         if (c.text or "").strip():
             seen.setdefault(c.text.strip())
-    head = (text(channel, "title"), text(channel, "language").lower()[:16], list(seen))
+    picture = lambda node: (node.find(f"{ITUNES}image").get("href") or "").strip() if node.find(f"{ITUNES}image") is not None else ""
+    head = (text(channel, "title"), text(channel, "language").lower()[:16], list(seen), text(channel, f"{ITUNES}author"), picture(channel) or text(channel, "image/url"), text(channel, "link"), text(channel, f"{ITUNES}explicit"))
     out = []
     for i, item in enumerate(channel.findall("item")):
         enclosure = item.find("enclosure")
         url = (enclosure.get("url") or "").strip() if enclosure is not None else ""
         description = text(item, "description") or text(item, f"{ITUNES}summary")
-        out.append((*head, i, text(item, "guid"), text(item, "title"), description, url, text(item, "pubDate"), text(item, f"{ITUNES}duration"), text(item, f"{ITUNES}explicit")))
+        told = [{k: (t.get(k) or "").strip() for k in ("url", "type", "language")} for t in item.findall(f"{PODCAST}transcript")]
+        told = [t for t in told if t["url"]]
+        out.append((*head, i, text(item, "guid"), text(item, "title"), description, url, text(item, "pubDate"), text(item, f"{ITUNES}duration"), text(item, f"{ITUNES}explicit"), picture(item), text(item, "link"), told))
     return out
 
 
 def parse_feeds(df: DataFrame, key: str, xml: str) -> DataFrame:
     """One row per item of the RSS documents in ``xml``."""
     kind = df.schema[key].dataType.simpleString()
-    names = [f.split(" ")[0] for f in FEED_SCHEMA.split(", ")]
+    names = [f.split(" ")[0] for f in FEED_SCHEMA.split(", ") if " " in f]
 
     def run(batches):
         for pdf in batches:
@@ -127,6 +139,36 @@ def write_dataset(df: DataFrame, folder: str, name: str, version: str, at: str =
     return manifest
 
 
+def write_snapshot(spark: SparkSession, tables: dict[str, tuple[DataFrame, str]], folder: str) -> str:
+    """Write tables (name -> rows and key) in the order of their keys to a folder named by their content, then point ``latest`` at it; its name.
+
+    The name is 12 digits of the digest of the tables' canonical digests, so the same content is the same folder and is
+    written once. ``latest`` is a file that is replaced by a rename after everything else is there.
+    """
+    from audiolake.operators.datasets import canonical_digest
+
+    digests = {name: canonical_digest(df, key, df.columns).first().asDict() for name, (df, key) in sorted(tables.items())}
+    name = manifest_id(digests)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(folder).getFileSystem(conf)
+    if not fs.exists(path(f"{folder}/{name}/manifest")):
+        for table, (df, key) in tables.items():
+            df.orderBy(key).write.mode("overwrite").parquet(f"{folder}/{name}/{table}.parquet")
+        spark.createDataFrame([(json.dumps(digests, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/manifest")
+    out = fs.create(path(f"{folder}/latest.new"), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    fs.delete(path(f"{folder}/latest"), False)
+    fs.rename(path(f"{folder}/latest.new"), path(f"{folder}/latest"))
+    return name
+
+
+def latest(spark: SparkSession, folder: str) -> str:
+    """The folder that ``latest`` points at."""
+    return f"{folder}/{spark.read.text(f'{folder}/latest').first().value}"
+
+
 def manifest_id(manifest: dict) -> str:
     """Twelve digits of the digest of a manifest."""
     return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()[:12]

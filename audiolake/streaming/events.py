@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from audiolake.session import shared_folder
+from audiolake.session import forget, shared_folder
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,8 @@ def drain(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     out = f"{shared_folder(spark)}/stream-{label}-{uuid.uuid4().hex}"
     query = df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
     query.awaitTermination()
+    forget(spark, out)
+    forget(spark, out + "-state")
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -115,6 +117,7 @@ def split_batches(df: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFr
         batch.unpersist()
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    forget(spark, base)
     return {name: spark.read.parquet(f"{base}/{name}").drop("batch") for name in outputs}
 
 
