@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from audiolake.session import store
 
+#: Vocabulary file of the public tokenizer; the setting spark.audiolake.vocabulary of a session names another.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _ENCODINGS: dict = {}
 
@@ -52,8 +53,9 @@ def _pieces(text: str, most: int = 20_000):
     yield text[at:]
 
 
-def count_tokens(df: DataFrame, text: str, out: str = "tokens", path: str = VOCABULARY) -> DataFrame:
-    """Add ``out``, the number of tokens of ``text``; 0 for NULL."""
+def count_tokens(df: DataFrame, text: str, out: str = "tokens", path: str | None = None) -> DataFrame:
+    """Add ``out``, the number of tokens of ``text``; 0 for NULL. ``path``: vocabulary, by default the session's."""
+    path = path or df.sparkSession.conf.get("spark.audiolake.vocabulary", VOCABULARY)
 
     def count(column: pd.Series) -> pd.Series:
         encoding = _encoding(path)
@@ -62,7 +64,7 @@ def count_tokens(df: DataFrame, text: str, out: str = "tokens", path: str = VOCA
     return df.withColumn(out, F.pandas_udf(count, T.LongType())(F.col(text)))
 
 
-def sized(docs: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
+def sized(docs: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, source, tokens), stored, so that the text is tokenised once."""
     rows = docs.select(key, F.lower(F.trim("source")).alias("source"), "text").filter(F.col(key).isNotNull() & (F.col("source") != "") & (F.length("text") > 0))
     return store(count_tokens(rows, "text", path=path).select(key, "source", "tokens").filter(F.col("tokens") > 0), "sizes")

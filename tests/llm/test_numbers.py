@@ -162,6 +162,15 @@ def test_mixing(spark):
     assert mixing.report(sizes.limit(0), mixing.rates(sizes.limit(0), targets)).agg(F.sum("emitted_tokens")).first()[0] == 0
 
 
+def test_shares_of_many_documents_are_close(spark):
+    sizes = spark.createDataFrame([(i, s, 10 + i % 7) for s, n in (("a", 4000), ("b", 1500), ("c", 300)) for i in range(n)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.5, 3.0), ("m", "b", 0.3, 3.0), ("m", "c", 0.2, 8.0), ("n", "a", 0.7, 1.0), ("n", "b", 0.3, 1.5), ("n", "gone", 0.4, 9.0)], "mix_name string, source string, target_share double, max_repeats double")
+    got = {(r.mix_name, r.source): r for r in mixing.report(sizes, mixing.rates(sizes, targets)).collect()}
+    want = {("m", "a"): 0.5, ("m", "b"): 0.3, ("m", "c"): 0.2, ("n", "a"): 0.7, ("n", "b"): 0.3, ("n", "gone"): 0.0}
+    assert all(abs(got[k].actual_share - v) < 0.01 for k, v in want.items())
+    assert all(r.rate <= cap for k, cap in ((("m", "a"), 3), (("m", "b"), 3), (("m", "c"), 8), (("n", "a"), 1), (("n", "b"), 1.5)) for r in [got[k]])
+
+
 def test_long_texts_are_cut_where_tokens_end():
     encoding = mixing._encoding(mixing.VOCABULARY)
     text = "".join(f"Wort{i}  über 12 naïve,\n" for i in range(4000))
