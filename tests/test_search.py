@@ -47,6 +47,24 @@ def test_scores_by_hand(spark, tables):
     assert {(r.query_id, r.podcast_id): round(r.lex_podcast, 9) for r in p.collect()} == {("a", 7): round(0.2 * s, 9)}
 
 
+def test_only_queries_are_broadcast(spark, tables):
+    """The files of words and scores are small, the rows are not: of them nothing is built in the driver."""
+    episodes, _, _, _, asked = tables
+    terms = lexical.term_scores(episodes.withColumnRenamed("id", "episode_id"), "episode_id", {"A": F.col("title"), "B": F.col("description")}, asked)
+    held = rows(lexical.match(terms, "episode_id", asked).select("query_id", "episode_id"))
+    assert held == [("a", 1), ("a", 2), ("a", 5), ("b", 1)]
+    found = tuple(spark.createDataFrame([], f"query_id string, {k} long, {s} double") for k, s in (("episode_id", "lex_episode"), ("episode_id", "lex_transcript"), ("podcast_id", "lex_podcast")))
+    pairs = spark.createDataFrame([("a", 1, 7)], "query_id string, episode_id long, podcast_id long")
+    for df in (lexical.match(terms, "episode_id", asked), lexical.evidence(pairs, (found[0], found[1].withColumn("lex_opening", F.lit(0.0)), found[2]))):
+        lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        assert any("SortMergeJoin" in x for x in lines)
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        for i, x in enumerate(lines):
+            if "BroadcastExchange" in x:
+                below = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(x)), len(lines))]
+                assert not any("collect_list" in y or "score" in y or "lex_" in y for y in below)
+
+
 def test_lexical_ranking_unites_sources(spark, tables):
     c = candidates.Catalogue(*tables)
     got = [(r.query_id, r.episode_id, r["rank"]) for r in c.leg("lexical", 10).orderBy("query_id", "rank").collect()]
