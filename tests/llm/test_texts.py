@@ -203,6 +203,31 @@ def test_shared_lines_in_ten_thousand_records(spark):
         assert got == want and len(want) > 300
 
 
+def test_parts_in_rounds(spark, monkeypatch):
+    """Many parts give the pairs of few, in rounds that leave no shuffle files behind."""
+    rng = random.Random(8)
+    data = [(i, "", " ".join(f"r{rng.randrange(300)}" for _ in range(30))) for i in range(150)]
+    data += [(1000 + i, "", t.replace("r7", "s7")) for i, _, t in data]
+    df = spark.createDataFrame(data, "id long, title string, description string")
+    status = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    labels, keep = [], neardup.store
+
+    def store(x, label, **options):
+        before = status().size()
+        out = keep(x, label, **options)
+        labels.append((label, status().size() - before))
+        return out
+
+    monkeypatch.setattr(neardup, "store", store)
+    few = rows(neardup.pairs(df, "id", "title", "description", rare=3, groups=3))
+    assert [x for x, _ in labels].count("met") == 0
+    monkeypatch.setattr(neardup, "PART_SHINGLES", 150)
+    many = rows(neardup.pairs(df, "id", "title", "description", rare=3, groups=3))
+    assert many == few and len(few) >= 150 and [x for x, _ in labels].count("met") == neardup.ROUNDS
+    assert all(left <= 0 for _, left in labels)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_bitmaps_never_exclude():
     rng = np.random.default_rng(1)
     for _ in range(50):
