@@ -220,10 +220,10 @@ def test_parts_in_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "store", store)
     few = rows(neardup.pairs(df, "id", "title", "description", rare=3, groups=3))
-    assert [x for x, _ in labels].count("met") == 0
+    assert [x for x, _ in labels].count("met") == 1
     monkeypatch.setattr(neardup, "PART_SHINGLES", 150)
     many = rows(neardup.pairs(df, "id", "title", "description", rare=3, groups=3))
-    assert many == few and len(few) >= 150 and [x for x, _ in labels].count("met") == neardup.ROUNDS
+    assert many == few and len(few) >= 150 and [x for x, _ in labels].count("met") == 1 + neardup.ROUNDS
     assert all(left <= 0 for _, left in labels)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
