@@ -74,6 +74,30 @@ def test_lexical_ranking_unites_sources(spark, tables):
     assert candidates.run("hybrid-rrf", candidates.Catalogue(*empty[:4], tables[4]), 5).count() == 0
 
 
+def test_systems_share_the_deepest_leg(spark, tables, monkeypatch):
+    """Of a leg that systems take to several depths one is computed; each system still has the ranking it has alone."""
+    made = []
+    for at, name in ((lexical, "pool"), (vectors, "leg"), (candidates, "popular")):
+        monkeypatch.setattr(at, name, lambda *a, real=getattr(at, name), name=name, **k: made.append(name) or real(*a, **k))
+    names = tuple(sorted(candidates.SYSTEMS))
+    got = rows(candidates.runs(names, candidates.Catalogue(*tables), 1))
+    assert sorted(made) == ["leg", "leg", "pool", "popular"]
+    assert {r[0] for r in got} == set(names)
+    for n in ("lexical", "e5", "popularity-category"):
+        assert [r[1:] for r in got if r[0] == n] == rows(candidates.run(n, candidates.Catalogue(*tables), 1).select("query_id", "episode_id", "rank"))
+
+
+def test_pool_of_a_depth_is_part_of_the_deeper(spark, tables):
+    """Episode 1 of query a is second in its sources, so that it is no candidate of depth 1, though its sum is the best."""
+    episodes, _, _, _, asked = tables
+    found = candidates.Catalogue(*tables).found()
+    deep = lexical.pool(episodes, found, asked, 10)
+    assert {(r.query_id, r.episode_id): r["first"] for r in deep.collect()} == {("a", 1): 2, ("a", 2): 1, ("a", 3): 1, ("a", 5): 1, ("b", 1): 1, ("b", 3): 1}
+    for k in (1, 2):
+        assert rows(lexical.cut(deep, k)) == rows(lexical.ranked(episodes, found, asked, k))
+    assert ("a", 1) not in {r[:2] for r in rows(lexical.cut(deep, 1))}
+
+
 def test_vector_leg_is_exact_under_filters(spark, tables):
     episodes, _, _, vec, asked = tables
     asked = asked.union(spark.createDataFrame([("g", "salt sea", "en", 1300, "t")], Q))
