@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from audiolake import data_queries
 from audiolake.operators import candidates, contract, lexical, ranking, retrieval, vectors
 from tests.conftest import rows
 
@@ -178,6 +180,23 @@ def test_vector_functions(spark):
     assert got["one"] == (1, None) and got["l"][0] == 3 and abs(got["l"][1] - (1 - (0 + math.sqrt(0.5) * 2) / 3)) < 1e-6
 
 
+def test_sources_share_one_plan(spark, tables, monkeypatch):
+    written, store = [], lexical.store
+    monkeypatch.setattr(lexical, "store", lambda df, label, **kw: written.append(label) or store(df, label, **kw))
+    episodes, podcasts, told, _, asked = tables
+    e, t, p = lexical.matches(episodes, podcasts, told, asked)
+    assert written == ["terms", "asked", "lex"]
+    # transcripts and shows have ids in common with episodes, but terms, scores and matches of their own
+    assert {r[:2] for r in rows(t)} == {("a", 3), ("b", 3)} and {r[:2] for r in rows(p)} == {("a", 7)}
+    alone = lexical.term_scores(episodes.withColumnRenamed("id", "episode_id"), "episode_id", {"A": F.col("title"), "B": F.col("description")}, asked)
+    assert rows(lexical.match(alone, "episode_id", asked)) == rows(e)
+
+
+@pytest.mark.parametrize("name", ["reproduction_problems", "bootstrap_paired"])
+def test_runs_are_stored_before_they_are_read(spark, name):
+    assert not any("episodes.parquet" in f for f in entry.queries()[name](spark, entry.SMOKE).inputFiles())
+
+
 def test_contract_functions(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first().x
     assert one(contract.language_code(F.lit(" German "))) == "de" and one(contract.language_code(F.lit("pt-BR"))) == "pt" and one(contract.language_code(F.lit(None).cast("string"))) == ""
