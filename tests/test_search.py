@@ -192,7 +192,7 @@ def test_sources_share_one_plan(spark, tables, monkeypatch):
     assert rows(lexical.match(alone, "episode_id", asked)) == rows(e)
 
 
-@pytest.mark.parametrize("name", ["reproduction_problems", "bootstrap_paired"])
+@pytest.mark.parametrize("name", ["reproduction_problems", "bootstrap_paired", "audit_shares"])
 def test_runs_are_stored_before_they_are_read(spark, name):
     assert not any("episodes.parquet" in f for f in entry.queries()[name](spark, entry.SMOKE).inputFiles())
 
