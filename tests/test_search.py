@@ -197,6 +197,10 @@ def test_runs_are_stored_before_they_are_read(spark, name):
     assert not any("episodes.parquet" in f for f in entry.queries()[name](spark, entry.SMOKE).inputFiles())
 
 
+def test_examples_are_stored_before_they_are_searched(spark):
+    assert not any("episodes.parquet" in f for f in data_queries._example_catalogue(spark, entry.SMOKE)[1].queries.inputFiles())
+
+
 def test_contract_functions(spark):
     one = lambda e: spark.range(1).select(e.alias("x")).first().x
     assert one(contract.language_code(F.lit(" German "))) == "de" and one(contract.language_code(F.lit("pt-BR"))) == "pt" and one(contract.language_code(F.lit(None).cast("string"))) == ""
