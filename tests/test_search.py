@@ -230,3 +230,41 @@ def test_rrf_has_no_row_without_legs(spark):
 def test_inverse_squares(spark):
     got = spark.createDataFrame([(0,), (1,), (3,), (50_000,)], "n long").select(lexical.inverse_squares(F.col("n")).alias("x")).collect()
     assert [round(r.x, 9) for r in got] == [0, 1, round(1 + 1 / 4 + 1 / 9, 9), round(sum(1 / i**2 for i in range(1, 50_001)), 9)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_systems_are_ranked_in_one_plan(spark, tables):
+    """Seven systems: one ranking of the texts at their depths, one fusion, two of popular episodes; each as alone."""
+    names = tuple(sorted(candidates.SYSTEMS))
+    df = candidates.runs(names, candidates.Catalogue(*tables), 2)
+    assert plan(df).count(" Window [") <= 4
+    got, c = rows(df), candidates.Catalogue(*tables)
+    for n in names:
+        assert [r[1:] for r in got if r[0] == n] == rows(candidates.run(n, c, 2).select("query_id", "episode_id", "rank"))
+
+
+def test_words_are_looked_up_and_joined_at_one_place(spark, tables, monkeypatch):
+    """One look-up of words for three sources, two joins for the evidence of three."""
+    written, store = {}, lexical.store
+    monkeypatch.setattr(lexical, "store", lambda df, label, **kw: written.update({label: df}) or store(df, label, **kw))
+    found = candidates.Catalogue(*tables).found()
+    assert plan(written["terms"]).count("Join LeftSemi") == 1
+    pairs = spark.createDataFrame([("a", 1, 7), ("a", 1, 7), ("a", 3, 8), ("b", 3, None), ("x", 1, 7)], "query_id string, episode_id long, podcast_id long")
+    got = lexical.evidence(pairs, found)
+    assert plan(got).count("Join ") == 2
+    held = sorted((r.query_id, r.episode_id, r.lex_episode > 0, r.lex_transcript > 0, r.lex_opening > 0, r.lex_podcast > 0) for r in got.collect())
+    assert held == [("a", 1, True, False, False, True)] * 2 + [("a", 3, False, True, True, False), ("b", 3, False, True, True, False), ("x", 1, False, False, False, False)]
+
+
+def test_pool_ranks_its_sources_once(spark, tables):
+    assert plan(lexical.pool(tables[0], candidates.Catalogue(*tables).found(), tables[4], 10)).count(" Window [") == 1
+
+
+def test_queries_are_encoded_before_the_legs(spark, tables, monkeypatch):
+    written, store = {}, candidates.store
+    monkeypatch.setattr(candidates, "store", lambda df, label, **kw: written.update({label: df}) or store(df, label, **kw))
+    candidates.Catalogue(*tables).legs(candidates.LEGS, 5)
+    assert set(written) == {"leg-lexical", "leg-e5", "leg-two_tower"} and not any("sha2" in plan(df) for df in written.values())
